@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, simhash, token_files, warc, weak_labels
+from . import bpe, chat, packing, rabitq, simhash, token_files, warc, weak_labels
 from .quality_rules import quality_table
 
 
@@ -55,6 +55,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -77,6 +81,15 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(length(r) + length(t) + 16) as bigint) as formatted_chars
 from e group by conv_id
+""",
+    "op10_rabitq": """
+with recursive x as (select vec_id, embedding::double[] as v from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from x a, x b where a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.95),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+n as (select a, count(*) as n from l group by a), c as (select a, min(b) as b from r group by a)
+select x.vec_id, coalesce(n.n, 0) as n_links, least(x.vec_id, coalesce(c.b, x.vec_id)) as component_id,
+       x.vec_id = least(x.vec_id, coalesce(c.b, x.vec_id)) as kept
+from x left join n on n.a = x.vec_id left join c on c.a = x.vec_id
 """,
 }
 
