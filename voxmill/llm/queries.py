@@ -63,8 +63,14 @@ def op10_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name == "pipeline" or name.startswith("op") and name[2].isdigit()}
 
 
 _SQL = {
