@@ -25,18 +25,24 @@ from .common import open_store, work_path, written
 from .huffman import Code, code_lengths
 
 MAGIC = b"VXHF"
-#: Ids of a block, of a file, and words a worker remembers.
-BLOCK_IDS, FILE_IDS, CACHE_WORDS = 1 << 16, 16 << 20, 300_000
+#: Ids of a block, of a file, and pieces a worker remembers.
+BLOCK_IDS, FILE_IDS, CACHE_WORDS = 1 << 16, 16 << 20, 1_000_000
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class ChunkCoder:
-    """Encodes texts with the tokenizers library, chunk by chunk between ASCII white space.
+    """Encodes texts with the tokenizers library, piece by piece, remembering the ids of pieces seen before.
 
-    For tokenizers whose normalizer and pre-tokenizer never look across white space and drop it (as word_bpe_49k does) a text's ids are its
-    chunks' ids in a row, so a chunk seen before need not be encoded again.
+    For a tokenizer like word_bpe_49k, whose normalizer composes and lower-cases characters on their own and whose pre-tokenizer splits by a
+    pattern that drops white space, a text's ids are the ids of its pieces in a row. Texts of characters that are already composed, and whose class and
+    lower case no library disputes, are cut by the pattern; new pieces are encoded together as one text, and fall apart again after each token that ends a word.
+    Other texts are cut at ASCII white space only, which no normalisation or match crosses, and each chunk is encoded whole.
     """
 
+    _LETTERS = "a-zß-öø-ÿœ"
+    _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ¡¿«»–—‘’“”…€§°]*")
+    _PIECE = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s{_LETTERS}0-9]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -45,22 +51,51 @@ class ChunkCoder:
         self._t.encode_special_tokens = True
         self.size = self._t.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self._ends = np.zeros(self.size, bool)
+        for token, i in self._t.get_vocab().items():
+            self._ends[i] = token.endswith("</w>")
         self._known: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        (ids,) = self._ids([" ".join(pieces)])
+        ends = (np.flatnonzero(self._ends[ids]) + 1) * self.kind.itemsize
+        if len(ends) != len(pieces):
+            raise ValueError("this tokenizer doesn't end every piece with one end-of-word token")
+        raw, at = ids.tobytes(), 0
+        for piece, end in zip(pieces, ends.tolist(), strict=True):
+            self._known[piece] = raw[at:end]
+            at = end
+
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """The ids of each text as bytes of kind, followed by end; a null text is empty."""
         if len(self._known) > CACHE_WORDS:
-            self._known.clear()
-        known, parts = self._known, [_CHUNK.findall(t) if t else [] for t in texts]
-        new = list({w for p in parts for w in p if w not in known})
-        rare = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self._t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(w) <= 64 else rare)[w] = np.array(e.ids, self.kind).tobytes()
-        if rare:
-            return [b"".join([known[w] if w in known else rare[w] for w in p]) + end for p in parts]
-        return [b"".join(map(known.__getitem__, p)) + end for p in parts]
+            self._known = {}
+        known, out = self._known, []
+        for i in range(0, len(texts), 256):
+            parts, holes = [], []
+            for text in texts[i : i + 256]:
+                if not text:
+                    parts.append([])
+                elif not self._PLAIN.fullmatch(text):
+                    parts.append([x.tobytes() for x in self._ids(_CHUNK.findall(text))])
+                else:
+                    pieces = self._PIECE.findall(text.lower())
+                    ids = list(map(known.get, pieces))
+                    parts.append(ids)
+                    if None in ids:
+                        at = -1
+                        for _ in range(ids.count(None)):
+                            at = ids.index(None, at + 1)
+                            holes.append((ids, at, pieces[at]))
+            if holes:
+                self._learn(list({piece for _, _, piece in holes}))
+                for ids, at, piece in holes:
+                    ids[at] = known[piece]
+            out += [b"".join(p) + end for p in parts]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -90,9 +125,13 @@ def id_counts(coded: DataFrame, size: int, width: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size) if ids.as_buffer().size > 4 * size else 0
-            short = [x.as_buffer() for x in batch.column("ids") if x.as_buffer().size <= 4 * size]
-            total += np.bincount(np.frombuffer(b"".join(short), kind), minlength=size)
+                if ids.is_valid:
+                    flat = np.frombuffer(ids.as_buffer(), kind)
+                    # a short text costs its own length, not that of the vocabulary
+                    if len(flat) < size // 8:
+                        np.add.at(total, flat, 1)
+                    else:
+                        total += np.bincount(flat, minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
