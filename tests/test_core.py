@@ -219,3 +219,129 @@ def test_scoring(spark):
     (r,) = detection.score_patches(patches, lambda a: a.mean(1) - 0.25).collect()
     assert r.x == 0 and abs(r.score - 0.25) < 1e-9
     assert metrics is not None
+
+
+def test_learning(spark):
+    from voxmill.operators import learning
+
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(c, 0.5, (60, 3)) for c in (0, 6)])
+    rows = spark.createDataFrame([(1, *map(float, p), int(i >= 60)) for i, p in enumerate(pts)], "image_id int, z double, y double, x double, cls int")
+    labelled, centers = learning.kmeans(rows, ["z", "y", "x"])
+    assert len({(r.cls, r.label) for r in labelled.collect()}) == 2 and np.allclose(np.sort(centers[:, 0]), [0, 6], atol=0.4)
+    normal, intercept = learning.separating_plane(rows, ["z", "y", "x"], "cls")
+    assert ((pts @ normal + intercept > 0) == (np.arange(120) >= 60)).all()
+    low, high = learning.two_gaussians(rows, "z")
+    assert abs(low) < 0.4 and abs(high - 6) < 0.4
+    axes, sizes = learning.principal_axes(rows, ["z", "y", "x"])
+    c = pts - pts.mean(0)
+    _, s, v = np.linalg.svd(c, full_matrices=False)
+    assert np.allclose(sizes, s) and abs(abs(axes[0] @ v[0]) - 1) < 1e-9
+    assert {r.cluster for r in learning.dbscan(rows.drop("cls"), 1.5, 4).collect()} >= {1, 2}
+    v = np.zeros((4, 4, 12))
+    v[1:3, 1:3, 1:3] = v[1:3, 1:3, 9:11] = 1
+    vols = spark.createDataFrame([(7, [4, 4, 12], v.ravel().tolist())], volumes.VOLUME)
+    got = learning.separate(vols).collect()
+    assert len(got) == 16 and len({r.part for r in got if r.x < 6}) == 1 and len({r.part for r in got}) == 2
+
+
+def test_synthesis(spark):
+    from voxmill.operators import synthesis as syn
+
+    pts = syn.in_sphere(spark, 4000, 2.0, 3)
+    p = np.array([(r.z, r.y, r.x) for r in pts.collect()])
+    r = np.linalg.norm(p, axis=1)
+    assert r.max() <= 2 and abs((r**3).mean() - 4) < 0.2 and np.abs(p.mean(0)).max() < 0.1
+    assert [tuple(x) for x in pts.repartition(7).orderBy("id").collect()] == [tuple(x) for x in pts.orderBy("id").collect()]
+    left = syn.dig(pts, (0, 0, 0), 1.0, 1).count()
+    assert 0.3 * 4000 < left < 0.9 * 4000
+    moved = syn.move(syn.shrink(pts, 2.0), (90, 0, 0, 1, 0, 0)).orderBy("id").collect()
+    want = p / 2 @ k.rotation_matrix(90, 0, 0).T + [1, 0, 0]
+    assert np.allclose([(m.z, m.y, m.x) for m in moved], want)
+    one = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "id long, z double, y double, x double")
+    grid = {(g.z, g.y, g.x): g.v for g in syn.voxelise(one, 9, 1.0).collect()}
+    assert abs(grid[4, 4, 4] - 1) < 1e-12 and abs(grid[4, 4, 5] - np.exp(-0.5)) < 1e-12
+    noisy = np.array([g.v for g in syn.add_noise(spark.range(20000).selectExpr("id as z", "id as y", "id as x", "1.0D as v"), 10, 2).collect()])
+    assert abs(noisy.std() - 10**-0.5) < 0.01 and abs(noisy.mean() - 1) < 0.01
+    assert syn.cylinder(spark).count() == 180 and syn.random_poses(spark, 10, 1.0, 4).count() == 10
+    a = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 9.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0)], "image_id int, z double, y double, x double")
+    b = spark.createDataFrame([(1, 2.9, 0.0, 0.0)], "image_id int, z double, y double, x double")
+    assert {(x.image_id, x.z) for x in syn.apart(a, b, 3.0).collect()} == {(1, 9.0), (2, 0.0)}
+
+
+def test_losses(spark):
+    import math
+
+    from voxmill.operators import losses
+
+    rng = np.random.default_rng(6)
+    logits, target = rng.normal(0, 2, 60), (rng.random(60) < 0.3).astype(int)
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(logits, target, strict=True)], "logit double, target int")
+    got = losses.positive_unlabelled(rows, 0.25, 0.5).first()
+    p = 1 / (1 + np.exp(-logits))
+    bce = -np.log(p[target == 1]).mean()
+    q, n = p[target == 0], int((target == 0).sum())
+    w = np.exp(-0.5 * (q.sum() - np.arange(n + 1)) ** 2 / ((q * (1 - q)).sum() + 1e-10))
+    binom = np.array([math.log(math.comb(n, i)) + i * math.log(0.25) + (n - i) * math.log(0.75) for i in range(n + 1)])
+    penalty = -(binom * w).sum() / w.sum()
+    assert abs(got.positives - bce) < 1e-9 and abs(got.penalty - penalty) < 1e-6 and abs(got.loss - bce - 0.5 * penalty) < 1e-6
+    t = spark.createDataFrame([(1.0, 0.5), (2.0, 0.0)], "loss double, eta double")
+    assert abs(losses.multi_task(t).first().total - (math.exp(-0.5) + 0.5 + 2)) < 1e-12
+    seg = spark.createDataFrame([(0, float(a), int(b)) for a, b in zip(logits, rng.integers(0, 3, 60), strict=True)], "c int, logit double, label int")
+    lab = np.array([r.label for r in seg.collect()])
+    want = -(p[lab == 1].mean() - p[lab > 1].mean() + 0.1 * p.sum() / ((lab == 1).sum() + (lab > 1).sum()))
+    assert abs(losses.inside_outside(seg, "c", 1.0, 0.1).first().loss - want) < 1e-9
+    ch = spark.createDataFrame([(0, 1.0, 1.0), (0, 0.0, 0.0), (1, 0.0, 0.0), (1, 1.0, 1.0)], "channel int, p double, t double")
+    assert abs(losses.generalised_dice(ch).first().loss) < 1e-9
+    wce = spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.5, 0.5])], "label int, p array<double>")
+    assert abs(losses.weighted_cross_entropy(wce).first().loss - math.log(2)) < 1e-9
+    h = spark.createDataFrame([(0.5, 0.0), (3.0, 0.0)], "guess double, target double")
+    assert abs(losses.smooth_l1(h).first().loss - (0.125 + 2.5) / 2) < 1e-12
+
+
+def test_augmentation():
+    from voxmill.functions import augment as aug
+
+    v = np.random.default_rng(7).random((6, 7, 8))
+    policy = aug.compose([(1, aug.flip(0)), (1, aug.flip(0)), (1, aug.transpose((2, 1, 0))), (1, aug.pad_to((10, 10, 10))), (1, aug.center_crop((8, 7, 6)))])
+    assert np.allclose(policy(v, 1), v.transpose(2, 1, 0))
+    for step in (aug.gaussian_noise(), aug.quarter_turn((1, 2)), aug.rotate((10, 10, 10)), aug.scale((0.9, 1.1)), aug.normalize(), aug.gamma(), aug.random_crop((3, 3, 3)), aug.random_crop((3, 3, 3), lambda a: a > 0.99), aug.elastic(), aug.remove_border()):
+        f = aug.compose([(1, step)])
+        assert np.array_equal(f(v, 5), f(v, 5)) and np.isfinite(f(v, 5)).all()
+    assert np.array_equal(aug.compose([(1, aug.flip(1))], share=0)(v, 3), v)
+    w = np.zeros((6, 6, 6))
+    w[2:4, 1:5, 3] = 1
+    assert aug.compose([(1, aug.remove_border())])(w, 0).shape == (2, 4, 1)
+
+
+def test_alignment_kernels():
+    n = 9
+    v = blob(n, (4, 4, 4), 1.2) + 0.7 * blob(n, (4, 6, 4), 0.8)
+    candidates = np.array([[a, b, 0, 0, 0, 0] for a in (0, 90, 180, 270) for b in (0, 90)], float)
+    parts = [v, k.rotate(v, np.array([90, 0, 0, 0, 0, 0]), inverse=True), k.rotate(v, np.array([180, 0, 0, 0, 0, 0]), inverse=True)]
+    mean, poses = k.iterative_average(parts, candidates, 1)
+    assert mean.shape == v.shape and np.isfinite(poses).all() and mean.std() > 0.9 * v.std()
+    assert k.suppress_outliers([v, v, v + 5, v], 3) == [0, 1, 3]
+    y, x = np.mgrid[:33, :33] - 16.0
+    image = lambda t: np.exp(-((x - 9 * np.cos(t)) ** 2 + (y - 9 * np.sin(t)) ** 2) / 8)
+    assert abs(k.in_plane_angle(image(0.3), image(0.3 + np.radians(40))) - 40) <= 2
+    mask = np.zeros((7, 7, 7), bool)
+    mask[3, 3, 3] = True
+    assert k.dilate(mask).sum() == 7 and (k.erode(k.dilate(mask)) == mask).all()
+    scene = blob(21, (10, 10, 10), 2.0)
+    out = k.foreground_mask(scene, grow=1)
+    assert out[10, 10, 10] and not out[0, 0, 0]
+
+
+def test_postprocess(spark):
+    v = np.zeros((16, 16, 16))
+    v[4:8, 4:8, 4:8] = 1
+    images = spark.createDataFrame([(1, [16] * 3, v.ravel().tolist())], "image_id long, shape array<int>, data array<double>")
+    boxes = spark.createDataFrame([(1, "a", 2, 3, 4, 8, 9, 10, 0.9), (1, "b", 3, 3, 3, 9, 9, 9, 0.8)], "image_id long, box_id string, x1 int, y1 int, z1 int, x2 int, y2 int, z2 int, score double")
+    got = {}
+    for r in detection.postprocess(images, boxes).collect():
+        got.setdefault(r.step, []).append((r.x1, r.y1, r.z1, r.x2, r.y2, r.z2))
+    assert len(got["raw"]) == 2 and got["nms"] == [(2, 3, 4, 8, 9, 10)]
+    (last,) = got["last_step"]
+    assert np.allclose([(last[i] + last[i + 3]) / 2 for i in range(3)], [5.5] * 3, atol=0.6)
+    assert detection.keep_bright(images, boxes).count() >= 1

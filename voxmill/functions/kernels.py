@@ -302,3 +302,100 @@ def tiles(shape: tuple[int, ...], most: int) -> list[tuple[tuple[int, int], ...]
         a, b = t[axis]
         out += [(*t[:axis], (a, (a + b) // 2), *t[axis + 1 :]), (*t[:axis], ((a + b) // 2, b), *t[axis + 1 :])]
     return sorted(rest)
+
+
+def align_pair(reference: np.ndarray, moving: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, float]:
+    """(pose, error) of the candidate rotation after which moving registers best with reference."""
+    psf = np.zeros((3,) * 3)
+    psf[1, 1, 1] = 1
+    pose, error = match_pose(moving, reference, psf, candidates)
+    return pose, error
+
+
+def iterative_average(volumes: list[np.ndarray], candidates: np.ndarray, rounds: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(average, poses): particles are aligned in a seeded order to the running average, then each to the average of the others.
+
+    Sequential by nature: each alignment needs the average before it.
+    """
+    order = np.random.default_rng(seed).permutation(len(volumes))
+    poses = np.zeros((len(volumes), 6))
+    moved = [v.copy() for v in volumes]
+    total = volumes[order[0]].copy()
+    for n, i in enumerate(order[1:], 1):
+        poses[i], _ = align_pair(total / n, volumes[i], candidates)
+        moved[i] = rotate(volumes[i], poses[i])
+        total = total + moved[i]
+    for _ in range(rounds):
+        for i in order:
+            rest = total - moved[i]
+            poses[i], _ = align_pair(rest / max(1, len(volumes) - 1), volumes[i], candidates)
+            moved[i] = rotate(volumes[i], poses[i])
+            total = rest + moved[i]
+    return total / len(volumes), poses
+
+
+def suppress_outliers(volumes: list[np.ndarray], n: int) -> list[int]:
+    """Indices of n volumes, halving the set by distance from its mean until no more than n are left or the next half would be fewer."""
+    keep = list(range(len(volumes)))
+    while len(keep) > n:
+        mean = np.mean([volumes[i] for i in keep], 0)
+        far = [float(np.abs(volumes[i] - mean).mean()) for i in keep]
+        order = [keep[j] for j in np.argsort(far, kind="stable")]
+        keep = sorted(order[: max(n, (len(keep) + 1) // 2)])
+    return keep
+
+
+def polar(image: np.ndarray, n_angles: int, n_radii: int) -> np.ndarray:
+    """Bilinear polar resampling of a square image about its centre."""
+    c = (np.asarray(image.shape) - 1) / 2
+    t = 2 * np.pi * np.arange(n_angles)[:, None] / n_angles
+    r = np.arange(n_radii)[None] * c.min() / max(1, n_radii - 1)
+    y, x = c[0] + r * np.sin(t), c[1] + r * np.cos(t)
+    y0, x0 = np.clip(np.floor(y).astype(int), 0, image.shape[0] - 2), np.clip(np.floor(x).astype(int), 0, image.shape[1] - 2)
+    fy, fx = y - y0, x - x0
+    return image[y0, x0] * (1 - fy) * (1 - fx) + image[y0 + 1, x0] * fy * (1 - fx) + image[y0, x0 + 1] * (1 - fy) * fx + image[y0 + 1, x0 + 1] * fy * fx
+
+
+def in_plane_angle(reference: np.ndarray, moving: np.ndarray, n_angles: int = 360) -> float:
+    """Degrees by which moving is turned against reference, from the circular correlation of their polar images."""
+    radii = min(reference.shape) // 2
+    a, b = polar(reference, n_angles, radii), polar(moving, n_angles, radii)
+    cc = np.fft.ifft(np.fft.fft(a, axis=0).conj() * np.fft.fft(b, axis=0), axis=0).real.sum(1)
+    return float(np.argmax(cc) * 360 / n_angles)
+
+
+def erode(mask: np.ndarray, times: int = 1) -> np.ndarray:
+    """Erosion by face neighbours; outside counts as empty."""
+    for _ in range(times):
+        padded, out = np.pad(mask, 1), mask.copy()
+        for axis in range(mask.ndim):
+            for step in (0, 2):
+                out &= padded[tuple(slice(step, step + n) if a == axis else slice(1, 1 + n) for a, n in enumerate(mask.shape))]
+        mask = out
+    return mask
+
+
+def dilate(mask: np.ndarray, times: int = 1) -> np.ndarray:
+    for _ in range(times):
+        padded, out = np.pad(mask, 1), mask.copy()
+        for axis in range(mask.ndim):
+            for step in (0, 2):
+                out |= padded[tuple(slice(step, step + n) if a == axis else slice(1, 1 + n) for a, n in enumerate(mask.shape))]
+        mask = out
+    return mask
+
+
+def foreground_mask(volume: np.ndarray, gamma: float = 0.5, least: int = 8, grow: int = 10) -> np.ndarray:
+    """Likely foreground: gamma, the midpoint between the two class means of the brightest slice, small parts removed, eroded once and grown."""
+    v = (volume - volume.min()) / max(volume.max() - volume.min(), 1e-12)
+    v = v**gamma
+    part = v[np.argmax(v.mean((1, 2)))].ravel()
+    low, high = np.quantile(part, [0.1, 0.9])
+    for _ in range(100):  # two-class mixture with a common spread, by hard assignment
+        cut = (low + high) / 2
+        a, b = part[part <= cut], part[part > cut]
+        new = (a.mean() if len(a) else low, b.mean() if len(b) else high)
+        if np.allclose(new, (low, high)):
+            break
+        low, high = new
+    return dilate(erode(remove_small(v > (low + high) / 2, least)), grow)

@@ -174,3 +174,47 @@ def score_patches(patches: DataFrame, score, keep_above: float = 0.0) -> DataFra
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema if f.name != "data"]
     return patches.mapInPandas(run, ", ".join([*kept, "score double"]))
+
+
+def keep_bright(images: DataFrame, boxes: DataFrame, margin: float = 0.5) -> DataFrame:
+    """Boxes whose summed intensity, stretched to [0, 1] over the image, is over margin times its Otsu threshold. Intensities are ranked into [0, 1] first, so that a few
+    very bright voxels don't decide (in place of local histogram equalisation)."""
+    from ..functions.kernels import otsu
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = [int(n) for n in pdf["shape"].iloc[0]]
+        flat = np.asarray(pdf["data"].iloc[0], float)
+        values, place = np.unique(flat, return_inverse=True)
+        image = (place / max(1, len(values) - 1)).reshape(shape)
+        total = np.array([image[max(0, int(r.z1)) : int(r.z2), max(0, int(r.y1)) : int(r.y2), max(0, int(r.x1)) : int(r.x2)].sum() for r in pdf.itertuples(index=False)])
+        if total.max() > total.min():
+            total = (total - total.min()) / (total.max() - total.min())
+            pdf = pdf[total > margin * otsu(total)]
+        return pdf.drop(columns=["shape", "data"])
+
+    both = boxes.join(images.select("image_id", "shape", "data"), "image_id")
+    return both.groupBy("image_id").applyInPandas(run, boxes.schema)
+
+
+def averaged(boxes: DataFrame) -> DataFrame:
+    """One box (image_id, box_id, corners) per star group, named by its first box."""
+    return spatial_average(star_groups(boxes)).withColumnRenamed("group_id", "box_id").select("image_id", "box_id", *_COLS)
+
+
+def postprocess(images: DataFrame, boxes: DataFrame, threshold: float = 0.2, min_distance: float | None = None, last: str = "spatial_average", margin: float = 0.5) -> DataFrame:
+    """(step, image_id, box_id, corners) after each step: raw, nms, first_spatial_average, center_of_mass_correction, last_step.
+
+    last: spatial_average, or otsu for keep_bright(). min_distance defaults to the suppression threshold.
+    """
+    from .volumes import recentered
+
+    cols = ["image_id", "box_id", *(F.col(c).cast("double").alias(c) for c in _COLS)]
+    kept = suppress(boxes, threshold)
+    first = averaged(kept)
+    moved = recentered(images, first, threshold if min_distance is None else min_distance)
+    final = keep_bright(images, moved, margin) if last == "otsu" else averaged(moved)
+    out = None
+    for name, rows in (("raw", boxes), ("nms", kept), ("first_spatial_average", first), ("center_of_mass_correction", moved), ("last_step", final)):
+        part = rows.select(F.lit(name).alias("step"), *cols)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -147,3 +147,29 @@ def refined_grid(poses: DataFrame, spread: float, n: int) -> DataFrame:
         step = spread / max(1, n - 1)
         out = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(c, F.col(c) - spread / 2 + F.col("k") * step).drop("k")
     return out.withColumns({c: F.lit(0.0) for c in ("t1", "t2", "t3")})
+
+
+def xyz_angles(m: Matrix) -> list[Column]:
+    """Angles about x, y and z in radians, the last one 0 where the middle one is a quarter turn."""
+    sy = F.sqrt(m[0][0] * m[0][0] + m[1][0] * m[1][0])
+    singular = sy < 1e-6
+    return [F.when(singular, F.atan2(-m[1][2], m[1][1])).otherwise(F.atan2(m[2][1], m[2][2])), F.atan2(-m[2][0], sy), F.when(singular, F.lit(0.0)).otherwise(F.atan2(m[1][0], m[0][0]))]
+
+
+def default_origin() -> dict[str, Column]:
+    """Origin of an image (dim_*, voxel_*): minus half its width and height, plus its depth."""
+    return {"ox": F.col("dim_x") / -2.0 * F.col("voxel_xy"), "oy": F.col("dim_y") / -2.0 * F.col("voxel_xy"), "oz": F.col("dim_z") * F.col("voxel_z")}
+
+
+def in_plane_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Signed angle in degrees of a drawn line against the x axis."""
+    dx, dy = x2 - x1, y2 - y1
+    n = F.sqrt(dx * dx + dy * dy)
+    return F.when(n > 0, F.when(dy < 0, -1.0).otherwise(1.0) * F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dx / n)))))
+
+
+def points_seen(points: DataFrame, by: str) -> DataFrame:
+    """Mean centre, greatest distance from it and field of view of each cloud of points (by, z, y, x)."""
+    c = points.groupBy(by).agg(*(F.avg(a).alias("c" + a) for a in "zyx"), *(f(a).alias(f"{a}_{k}") for a in "zyx" for f, k in ((F.min, "low"), (F.max, "high"))))
+    far = points.join(c.select(by, "cz", "cy", "cx"), by).groupBy(by).agg(F.max(F.sqrt(sum((F.col(a) - F.col("c" + a)) ** 2 for a in "zyx"))).alias("radius"))
+    return c.join(far, by)

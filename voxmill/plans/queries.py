@@ -675,3 +675,236 @@ def nn_binomial_bce(spark, d):
 @query("select truth, round(2.0 * sum(quality * toxic) / greatest(sum(quality * quality) + sum(toxic * toxic), 1e-6), 6) as dice from view_ group by truth", "view")
 def nn_dice(spark, d):
     return met.dice(fx.views(spark, d), "truth", "quality", "toxic").select("truth", r6("dice").alias("dice"))
+
+
+@query(
+    _R + """, e as (select name, sqrt(r00 * r00 + r10 * r10) as sy, r00, r10, r20, r21, r22, r11, r12 from r)
+    select name, round(case when sy < 1e-6 then atan2(-r12, r11) else atan2(r21, r22) end, 5) + 0.0 as a, round(atan2(-r20, sy), 5) + 0.0 as b from e where sy > 1e-3 and abs(r21) > 1e-9""",
+    "pose",
+)
+def geo_xyz_angles(spark, d):
+    m = geo.pose_matrix()
+    a = geo.xyz_angles(m)
+    rows = fx.poses(spark, d).filter((F.sqrt(m[0][0] ** 2 + m[1][0] ** 2) > 1e-3) & (F.abs(m[2][1]) > 1e-9))
+    return rows.select("name", (F.round(a[0], 5) + 0.0).alias("a"), (F.round(a[1], 5) + 0.0).alias("b"))
+
+
+@query("select image_id, round(dim_x / -2.0 * voxel_xy, 6) as ox, round(dim_y / -2.0 * voxel_xy, 6) as oy, round(dim_z * voxel_z, 6) as oz from image", "image")
+def geo_default_origin(spark, d):
+    return fx.image(spark, d).select("image_id", *(r6(c).alias(k) for k, c in geo.default_origin().items()))
+
+
+@query("select box_id, round(case when y2 < y1 then -1.0 else 1.0 end * degrees(acos((x2 - x1) / sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)))), 5) + 0.0 as angle from pred", "pred")
+def geo_drawn_angle(spark, d):
+    a = geo.in_plane_angle(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")))
+    return fx.predictions(spark, d).select("box_id", (F.round(a, 5) + 0.0).alias("angle"))
+
+
+@query(
+    """, c as (select image_id, avg(z1) as cz, avg(y1) as cy, avg(x1) as cx, min(x1) as x_low, max(x1) as x_high from pred group by 1)
+    select image_id, round(cz, 6) as cz, x_low, x_high, round(max(sqrt(pow(z1 - cz, 2) + pow(y1 - cy, 2) + pow(x1 - cx, 2))), 6) as radius from pred join c using (image_id) group by all""",
+    "pred",
+)
+def geo_points_seen(spark, d):
+    p = fx.predictions(spark, d).select("image_id", F.col("z1").alias("z"), F.col("y1").alias("y"), F.col("x1").alias("x"))
+    return geo.points_seen(p, "image_id").select("image_id", r6("cz").alias("cz"), "x_low", "x_high", r6("radius").alias("radius"))
+
+
+@query("select step, count(*) as n from (select unnest(['nms', 'first_spatial_average', 'last_step']) as step), pred group by step", "pred")
+def rel_unpivot_steps(spark, d):
+    b = fx.predictions(spark, d).select("box_id", F.explode(F.array(*map(F.lit, ("raw", "nms", "first_spatial_average", "last_step")))).alias("step"))
+    return b.filter("step <> 'raw'").groupBy("step").agg(F.count("*").alias("n"))
+
+
+@query("select vec_id as id, 'embedding_' || i as key, round(cast(embedding[i + 1] as double), 6) + 0.0 as value from embeddings, (select unnest(range(64)) as i)")
+def rel_flatten_arrays(spark, d):
+    e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    return e.select("id", F.concat(F.lit("embedding_"), F.col("i").cast("string")).alias("key"), r6("v").alias("value"))
+
+
+@query("select coalesce(max(cast(regexp_extract(name, '_([0-9]+)$', 1) as integer)), 0) + 1 as suffix from (select 'output_' || (image_id % 7) as name from image)", "image")
+def rel_next_suffix(spark, d):
+    names = fx.image(spark, d).select(F.concat(F.lit("output_"), (F.col("image_id") % 7).cast("string")).alias("name"))
+    return names.agg((F.coalesce(F.max(F.regexp_extract("name", "_([0-9]+)$", 1).cast("int")), F.lit(0)) + 1).alias("suffix"))
+
+
+@query("select path, sha256(path) as sha256 from (select distinct path from path)", "path")
+def src_registry_hash(spark, d):
+    return fx.paths(spark, d).select("path").distinct().select("path", F.sha2("path", 256).alias("sha256"))
+
+
+@query("select doc_id, truth = 0 as c0, truth = 1 as c1, truth = 2 as c2 from view_", "view")
+def vox_one_hot(spark, d):
+    return fx.views(spark, d).select("doc_id", *((F.col("truth") == c).alias(f"c{c}") for c in range(3)))
+
+
+@query("select volume_id, case when label = 3 then 1 else label end as label, count(*) as n from voxel group by all", "voxel")
+def vox_merge_labels(spark, d):
+    return _voxels(spark, d).withColumn("label", F.when(F.col("label") == 3, 1).otherwise(F.col("label"))).groupBy("volume_id", "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    """, p as (select view_id, epoch, 1 / (1 + exp(-(energy / 10 - 5))) as p, epoch % 3 as label from energy),
+    g as (select view_id, sum(p) filter (label = 1) as p1, sum(p) filter (label = 2) as p2, count(*) filter (label = 1) as n1, count(*) filter (label = 2) as n2, sum(p) as a from p group by view_id)
+    select view_id, round(-(coalesce(p1, 0) / greatest(n1, 1e-6) - coalesce(p2, 0) / greatest(n2, 1e-6) + case when n1 + n2 > 0 then 0.1 * a / (greatest(n1, 1e-6) + greatest(n2, 1e-6)) else 0 end), 5) + 0.0 as loss from g""",
+    "energy",
+)
+def nn_inside_outside(spark, d):
+    from ..operators import losses
+
+    rows = fx.energies(spark, d).select("view_id", (F.col("energy") / 10 - 5).alias("logit"), (F.col("epoch") % 3).alias("label"))
+    return losses.inside_outside(rows, "view_id", 1.0, 0.1).select("view_id", (F.round("loss", 5) + 0.0).alias("loss"))
+
+
+@query("select round(sum(l * exp(-0.1 * k) + 0.1 * k), 5) + 0.0 as total from (select epoch % 5 as k, avg(energy) as l from energy group by 1)", "energy")
+def nn_multi_task(spark, d):
+    from ..operators import losses
+
+    rows = fx.energies(spark, d).groupBy((F.col("epoch") % 5).alias("k")).agg(F.avg("energy").alias("loss")).withColumn("eta", 0.1 * F.col("k"))
+    return losses.multi_task(rows).select((F.round("total", 5) + 0.0).alias("total"))
+
+
+@query(
+    """with g as (select unnest(range(9)) as i), c as (select a.i as z, b.i as y, c.i as x from g a, g b, g c), p(pz, py, px) as (values (4.0, 4.0, 4.0), (5.5, 3.0, 4.0)),
+    d as (select z, y, x, sum(exp(-(pow(z - pz, 2) + pow(y - py, 2) + pow(x - px, 2)) / 2)) as v from c, p where abs(z - round_even(pz, 0)) <= 4 and abs(y - round_even(py, 0)) <= 4 and abs(x - round_even(px, 0)) <= 4 group by all)
+    select z, y, x, round(v / max(v) over (), 6) + 0.0 as v from d"""
+)
+def gen_voxelise(spark, d):
+    from ..operators import synthesis
+
+    pts = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.5, -1.0, 0.0)], "id long, z double, y double, x double")
+    return synthesis.voxelise(pts, 9, 1.0).select("z", "y", "x", r6("v").alias("v"))
+
+
+# ---- operators that SQL can't express: the tests compare them with plain Python ----------------------------------------
+
+
+@query()
+def samp_hash_shuffle(spark, d):
+    return met.hash_shuffle(fx.views(spark, d), "doc_id", 1).select("doc_id")
+
+
+@query()
+def gen_points_in_sphere(spark, d):
+    from ..operators import synthesis
+
+    return synthesis.dig(synthesis.in_sphere(spark, 2000, 2.0, 3), (0.0, 0.0, 0.0), 0.5, 1)
+
+
+@query()
+def gen_random_poses(spark, d):
+    from ..operators import synthesis
+
+    return synthesis.random_poses(spark, 500, 2.0, 11)
+
+
+def _shaped(spark, d, most: int | None = None):
+    v = fx.volumes(spark, d)
+    v = v if most is None else v.filter(F.col("volume_id") < most)
+    return v.select("volume_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), "data")
+
+
+@query()
+def vox_otsu_components(spark, d):
+    """Number and largest size of the components over Otsu's threshold of each volume."""
+    import numpy as np
+
+    from ..functions import kernels
+    from ..operators import volumes
+
+    def f(v):
+        ids, n = kernels.label(v > kernels.otsu(v))
+        return {"n": n, "largest": int(np.bincount(ids.ravel())[1:].max()) if n else 0}
+
+    return volumes.measure(_shaped(spark, d), f, "n long, largest long")
+
+
+@query()
+def vox_registration(spark, d):
+    """Shift of each volume against itself rolled by one voxel: -1 along z."""
+    import numpy as np
+
+    from ..functions import kernels
+    from ..operators import volumes
+
+    def f(v):
+        shift, error = kernels.register(v, np.roll(v, 1, 0))
+        return dict(zip(("dz", "dy", "dx"), map(float, shift), strict=True)) | {"error": round(error, 6)}
+
+    return volumes.measure(_shaped(spark, d), f, "dz double, dy double, dx double, error double")
+
+
+@query()
+def vox_rotate_by_pose(spark, d):
+    from ..operators import volumes
+
+    poses = fx.poses(spark, d).withColumnRenamed("pose_id", "volume_id").drop("name")
+    return volumes.rotated(_shaped(spark, d), poses)
+
+
+@query()
+def vox_deconvolve(spark, d):
+    import numpy as np
+
+    from ..functions import kernels
+    from ..operators import volumes
+
+    psf = kernels.gaussian_blur(np.pad(np.ones((1, 1, 1)), 1), (0.5,) * 3)
+    return volumes.map_volumes(_shaped(spark, d), lambda v, r: kernels.deconvolve(v - v.min(), psf, 1e-2))
+
+
+@query()
+def rec_match_poses(spark, d):
+    """Best of eight candidate poses for the first volumes against the mean volume."""
+    import numpy as np
+
+    from ..operators import volumes
+
+    vols = _shaped(spark, d)
+    mean = np.array([r.m for r in vols.select(F.posexplode("data").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]).reshape(4, 4, 4)
+    turns = spark.createDataFrame([(float(a), float(b), 0.0) for a in (0, 90, 180, 270) for b in (0, 90)], "rot1 double, rot2 double, rot3 double")
+    psf = np.zeros((3, 3, 3))
+    psf[1, 1, 1] = 1
+    return volumes.match(vols, mean, psf, vols.select("volume_id").crossJoin(turns))
+
+
+@query()
+def ml_kmeans(spark, d):
+    from ..operators import learning
+
+    p = fx.predictions(spark, d).select("box_id", *(F.col(f"{a}1").cast("double").alias(a) for a in "zyx"))
+    return learning.kmeans(p, ["z", "y", "x"])[0].select("box_id", "label")
+
+
+@query()
+def ml_dbscan(spark, d):
+    from ..operators import learning
+
+    p = fx.predictions(spark, d).select("image_id", "box_id", *(F.col(f"{a}1").cast("double").alias(a) for a in "zyx"))
+    return learning.dbscan(p, 8.0, 4)
+
+
+@query()
+def ml_separate(spark, d):
+    from ..operators import learning
+
+    return learning.separate(_shaped(spark, d))
+
+
+@query()
+def aug_policy(spark, d):
+    """A seeded flip, turn and noise policy on every volume."""
+    from ..functions import augment
+    from ..operators import volumes
+
+    policy = augment.compose([(0.5, augment.flip(0)), (0.5, augment.quarter_turn((1, 2))), (0.5, augment.gaussian_noise())])
+    return volumes.map_volumes(_shaped(spark, d), lambda v, r: policy(v, int(r.volume_id)))
+
+
+@query()
+def str_windowed_events(spark, d):
+    """Hourly counts per event type; the same function serves a stream."""
+    from ..streaming.arrivals import windowed_values
+
+    e = fx.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return windowed_values(e).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", (F.round("total", 4) + 0.0).alias("total"))
