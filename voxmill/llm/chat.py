@@ -53,9 +53,18 @@ def reconstruct(events: DataFrame) -> DataFrame:
     return whole.select("conv_id", F.transform(kept, lambda x: F.struct(x["turn"], x["role"], x["text"])).alias("turns"))
 
 
+def escape_role(role: Column) -> Column:
+    """As escape(), and on one line, since the line's end closes a role."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
+
+
 def render(chats: DataFrame) -> DataFrame:
     """(conv_id, formatted, spans): the formatted text and the [start, length) of the learned texts in it, in code points."""
-    parts = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), F.concat(F.lit(OPEN), escape(x["role"]), F.lit(">\n")).alias("head"), escape(x["text"]).alias("body")))
+    parts = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), F.concat(F.lit(OPEN), escape_role(x["role"]), F.lit(">\n")).alias("head"), escape(x["text"]).alias("body")))
     df = chats.select("conv_id", parts.alias("parts"))
     size = lambda x: F.char_length(x["head"]) + F.char_length(x["body"]) + len(CLOSE)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
@@ -68,7 +77,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns: array of (role, text), learned: the text under the loss mask, formatted_chars) from what render() made."""
     pieces = F.slice(F.split("formatted", "(?s)(?:\\A|(?<=</turn>\n))<turn "), 2, 2**30)
     bare = F.transform(pieces, lambda p: F.substring_index(p, CLOSE, 1))
-    turns = F.transform(bare, lambda p: F.struct(unescape(F.substring_index(p, ">\n", 1)).alias("role"), unescape(p.substr(F.char_length(F.substring_index(p, ">\n", 1)) + 3, F.char_length(p))).alias("text")))
+    turns = F.transform(bare, lambda p: F.struct(unescape_role(F.substring_index(p, ">\n", 1)).alias("role"), unescape(p.substr(F.char_length(F.substring_index(p, ">\n", 1)) + 3, F.char_length(p))).alias("text")))
     learned = F.array_join(F.transform("spans", lambda s: unescape(F.col("formatted").substr(s["start"] + 1, s["length"]))), "")
     return formatted.select("conv_id", turns.alias("turns"), learned.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 

@@ -85,7 +85,7 @@ from p left join first on p.digest = first.digest
     "op6_chat": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e as (select *, replace(replace(replace(role, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn') as r, replace(replace(replace(text, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn') as t from c)
+e as (select *, replace(replace(replace(replace(role, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn'), chr(10), '\n') as r, replace(replace(replace(text, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn') as t from c)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
        coalesce(cast(sum(length(text)) filter (role = 'assistant') as bigint), 0) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
