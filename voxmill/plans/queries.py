@@ -216,9 +216,9 @@ def rel_trailing_integer_rank(spark, d):
     return sets.numbered(p, ["stem"], ["tail"], "k").select("path", "tail", F.col("k").cast("long").alias("k"))
 
 
-@query("select list_sort(list(distinct round(voxel_xy, 6))) as sizes from image", "image")
+@query("select distinct round(voxel_xy, 6) as size from image", "image")
 def misc_voxel_sizes(spark, d):
-    return fx.image(spark, d).agg(F.sort_array(F.collect_set(F.round("voxel_xy", 6))).alias("sizes"))
+    return fx.image(spark, d).select(F.round("voxel_xy", 6).alias("size")).distinct()
 
 
 # ---- boxes ------------------------------------------------------------------------------------------------------------
@@ -292,7 +292,7 @@ def det_star_groups(spark, d):
 
 @query("select image_id, z, y, x from image, (select unnest(range(0, 29 - 16 + 1, 8)) as z), (select unnest(range(0, 105 - 16 + 1, 8)) as y), (select unnest(range(0, 113 - 16 + 1, 8)) as x)", "image")
 def det_patch_grid(spark, d):
-    return det.patch_grid(fx.image(spark, d), 16, 8)
+    return det.patch_grid(fx.image(spark, d), 16, 8).select("image_id", *(F.col(a).cast("long").alias(a) for a in "zyx"))
 
 
 @query("select box_id, (i // 120) * 8 + 8 as z, (i // 12) % 10 * 8 + 8 as y, i % 12 * 8 + 8 as x from (select box_id, x1 * 3 as i from pred)", "pred")
@@ -542,7 +542,7 @@ def aug_flip(spark, d):
 )
 def vox_ball_mask(spark, d):
     c = fx.predictions(spark, d).filter("image_id <= 20").select("image_id", F.col("z1").alias("z"), F.col("y1").alias("y"), F.col("x1").alias("x"))
-    return vox.ball_mask(c, 2)
+    return vox.ball_mask(c, 2).select("image_id", *(F.col(a).cast("long").alias(a) for a in "zyx"))
 
 
 @query("select i, round(case when x < 0.25 then 0.5 * (1 + cos(pi() * (x / 0.25 - 1))) when x > 0.75 then 0.5 * (1 + cos(pi() * ((x - 1) / 0.25 + 1))) else 1.0 end, 6) + 0.0 as tukey, round(0.5 - 0.5 * cos(2 * pi() * x), 6) + 0.0 as hann from (select i, i / 63.0::double as x from (select unnest(range(64)) as i))")

@@ -85,7 +85,7 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("epoch"), F.col("user_id").alias("view_id")).agg(F.avg("value").alias("energy"))
+    return e.groupBy(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("epoch"), F.col("user_id").alias("view_id")).agg(F.avg("value").alias("energy"))
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
