@@ -67,6 +67,16 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _WHITE_RUN))
 
 
+def keep_if(df: DataFrame, condition: Column) -> DataFrame:
+    """df.filter(condition), with the columns that df computes computed once.
+
+    The optimizer pushes a filter below the projections under it by putting their expressions in the place of their columns, once for every mention; with array
+    functions nested over several projections that multiplies their cost. A projection that is not deterministic stops it.
+    """
+    (mark,) = hidden(df, "mark")
+    return df.withColumn(mark, F.monotonically_increasing_id()).filter(condition & (F.col(mark) >= 0)).drop(mark)
+
+
 def hidden(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df does not have."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import hidden, written
+from .common import hidden, keep_if, written
 from .text_stats import STATS, with_text_stats
 
 #: Names of the vector's parts and the least standard deviation of each.
@@ -173,4 +173,5 @@ def keep_good(docs: DataFrame, tail: float = 1e-9, **fit) -> DataFrame:
     stats = written(with_text_stats(docs.select("text", "lang", "source")).select("lang", "source", *STATS), "stats")
     groups, fits = fit_mcd(stats, **fit)
     p, verdict, failed = hidden(docs, "stat", "kept", "failed")
-    return judge(with_text_stats(docs, prefix=p), groups, fits, prefix=p, tail=tail, verdict=verdict, failed=failed).filter(F.col(verdict)).select(*docs.columns)
+    judged = judge(with_text_stats(docs, prefix=p), groups, fits, prefix=p, tail=tail, verdict=verdict, failed=failed)
+    return keep_if(judged, F.col(verdict)).select(*docs.columns)
