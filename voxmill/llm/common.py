@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
+#: Bits of a bitmap that picks rows: at most 2 MB, so it may be broadcast whatever the data; a full one only picks more than it must.
+BITMAP_BITS = 1 << 24
 _WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -44,6 +46,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that this library has written to the shared folder, once no result that reads it is wanted any more."""
+    remove(spark, f"{shared_dir(spark)}/voxmill")
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a DataFrame that written() returned, once nothing reads it any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -87,3 +94,19 @@ def hidden(df: DataFrame, *names: str) -> list[str]:
         taken.add(new)
         out.append(new)
     return out
+
+
+def flagged(rows: DataFrame, by: str, wanted: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with flag: whether the hash `by` may be among the hashes `key` of wanted, by a bitmap of BITMAP_BITS bits; false hits are possible, false misses not."""
+    part, bits = hidden(rows, "part", "bits")
+    place = lambda c: F.pmod(F.col(c), F.lit(BITMAP_BITS)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(place(key)).alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias(bits))
+    spot = F.bitmap_bit_position(place(by)).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), spot % 8)).cast("int") % 2
+    return rows.withColumn(part, F.bitmap_bucket_number(place(by))).join(F.broadcast(maps), part, "left").withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(part, bits)
+
+
+def picked(rows: DataFrame, by: str, wanted: DataFrame, key: str) -> DataFrame:
+    (flag,) = hidden(rows, "flag")
+    return flagged(rows, by, wanted, key, flag).filter(flag).select(*rows.columns)
