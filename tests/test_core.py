@@ -345,3 +345,51 @@ def test_postprocess(spark):
     (last,) = got["last_step"]
     assert np.allclose([(last[i] + last[i + 3]) / 2 for i in range(3)], [5.5] * 3, atol=0.6)
     assert detection.keep_bright(images, boxes).count() >= 1
+
+
+def test_more_kernels():
+    mask = np.zeros((2, 7, 7), bool)
+    mask[0, [1, 1, 5, 5], [1, 5, 1, 5]] = True
+    out = k.hull_fill(mask)
+    assert out[0, 1:6, 1:6].all() and out.sum() == 25
+    v = np.random.default_rng(8).random((8, 8, 8))
+    assert np.allclose(k.keep_low_frequencies(v, 8), v) and k.keep_low_frequencies(v, 2).std() < v.std()
+    assert np.array_equal(k.keep_low_frequencies(v, 2, 3), k.keep_low_frequencies(v, 2, 3))
+    assert k.to_bytes(np.array([0, 255] * 999 + [300, 9])).dtype == np.uint8
+    assert k.to_bytes(np.arange(1000)).dtype == np.int16 and k.to_bytes(np.arange(1000), True).max() == 255
+    axis = np.array([0.2, 0.5, -0.8])
+    assert np.allclose(k.axis_rotation(axis) @ [1, 0, 0], axis / np.linalg.norm(axis))
+    rod = np.zeros((15, 15, 15))
+    rod[1:14, 6:9, 6:9] = 1
+    assert abs(abs(k.symmetry_axis(rod, 0.5)[0]) - 1) < 1e-6
+    y, x = np.mgrid[:21, :21] - 10.0
+    ring = sum(np.exp(-((x - 2 - 5 * np.cos(t)) ** 2 + (y + 1 - 5 * np.sin(t)) ** 2) / 2) for t in 2 * np.pi * np.arange(4) / 4)
+    assert np.allclose(k.ring_center(ring, 4, 0.5), [1, -2], atol=0.6)
+
+
+def test_more_operators(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from voxmill.operators import voxels
+
+    b = spark.createDataFrame([(1, "a", 0, 0, 0, 4, 3, 2)], "image_id int, box_id string, x1 int, y1 int, z1 int, x2 int, y2 int, z2 int")
+    got = {(r.z, r.y, r.x) for r in detection.box_edges(b, F.lit("red")).collect()}
+    want = {(z, y, x) for z in range(2) for y in range(3) for x in range(4) if (z in (0, 1)) + (y in (0, 2)) + (x in (0, 3)) >= 2}
+    assert got == want
+    cols = "p_rot1 double, p_rot2 double, p_rot3 double, p_t1 double, p_t2 double, p_t3 double, p_h1 double, p_h2 double, p_h3 double"
+    rows = [((0.0,) * 6 + (1.0,) * 3, (0.0, 0.0, 0.0, 0.0, 0.0, 2.5) + (1.0,) * 3, False), ((0.0,) * 6 + (1.0,) * 3, (45.0, 0.0, 0.0, 0.0, 0.0, 2.3) + (1.0,) * 3, True), ((0.0,) * 6 + (1.0,) * 3, (45.0, 0.0, 0.0, 0.0, 0.0, 2.5) + (1.0,) * 3, False)]
+    df = spark.createDataFrame([(*p, *q, w) for p, q, w in rows], f"{cols}, {cols.replace('p_', 'q_')}, want boolean")
+    assert all(r.got == r.want for r in df.select("want", geometry.oriented_boxes_meet("p_", "q_").alias("got")).collect())
+    s = spark.createDataFrame([(0.1, 0.2, 5.0), (0.9, 1.2, 7.0)], "y double, x double, value double")
+    grid = {(r.gy, r.gx): r.value for r in voxels.nearest_grid(s, 1.0).collect()}
+    assert grid[0, 0] == 5 and grid[1, 1] == 7 and grid[2, 2] == 7
+    items = spark.createDataFrame([(1, "a", True), (1, "b", False), (1, "c", True)], "set_id int, name string, enabled boolean")
+    data = spark.createDataFrame([(1, "x", 1.0), (1, "y", 2.0)], "set_id int, key string, v double")
+    out = sets.copy_items(items, data, ["name"], ["key"], {"w": F.col("v") * 2}, F.col("v") < 2)
+    assert [(r["name"], r.w) for r in out.collect()] == [("a", 2.0)]
+    sets.store(items, str(tmp_path / "s1"), ["s0"], "transform", str(tmp_path / "lineage"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "lineage")).collect()] == [("s0", str(tmp_path / "s1"), "transform")]
+    assert items.agg(sets.consistent(items, "set_id").alias("c")).first().c
+    p = spark.createDataFrame([(1, "a", 0, 0, 0, 4, 4, 4), (1, "b", 9, 9, 9, 12, 12, 12)], "image_id int, box_id string, x1 int, y1 int, z1 int, x2 int, y2 int, z2 int")
+    t = spark.createDataFrame([(1, "t", 0, 0, 0, 4, 4, 4), (1, "u", 20, 0, 0, 24, 4, 4)], p.schema)
+    assert {(r.box_id, r.verdict) for r in detection.verdicts(p, t).collect()} == {("a", "hit"), ("b", "fp"), ("t", "tp"), ("u", "fn")}

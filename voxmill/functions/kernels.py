@@ -399,3 +399,83 @@ def foreground_mask(volume: np.ndarray, gamma: float = 0.5, least: int = 8, grow
             break
         low, high = new
     return dilate(erode(remove_small(v > (low + high) / 2, least)), grow)
+
+
+def hull_fill(mask: np.ndarray) -> np.ndarray:
+    """Each z slice filled to the convex hull of its voxels (monotone chain, then half planes)."""
+    out = np.zeros(mask.shape, bool)
+    grid = np.indices(mask.shape[1:]).reshape(2, -1).T
+    for z, plane in enumerate(mask):
+        pts = sorted(map(tuple, np.argwhere(plane)))
+        if len(pts) < 3:
+            out[z] = plane
+            continue
+        turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+        hull = []
+        for chain in (pts, pts[::-1]):
+            part: list = []
+            for p in chain:
+                while len(part) > 1 and turn(part[-2], part[-1], p) <= 0:
+                    part.pop()
+                part.append(p)
+            hull += part[:-1]
+        h = np.array(hull)
+        inside = np.ones(len(grid), bool)
+        for a, b in zip(h, np.roll(h, -1, 0), strict=True):
+            inside &= (b[0] - a[0]) * (grid[:, 1] - a[1]) - (b[1] - a[1]) * (grid[:, 0] - a[0]) >= 0
+        out[z] = inside.reshape(plane.shape) | plane
+    return out
+
+
+def keep_low_frequencies(volume: np.ndarray, size: int, seed: int | None = None) -> np.ndarray:
+    """The central cube of the spectrum; elsewhere zero, or seeded noise of the spectrum's median modulus."""
+    f = np.fft.fftshift(np.fft.fftn(volume))
+    inside = np.ones(f.shape, bool)
+    for axis, n in enumerate(f.shape):
+        near = np.abs(np.arange(n) - n // 2) <= size // 2
+        inside &= near.reshape([-1 if k == axis else 1 for k in range(f.ndim)])
+    other = np.zeros_like(f)
+    if seed is not None:
+        rng = np.random.default_rng(seed)
+        other = np.median(np.abs(f)) * (rng.standard_normal(f.shape) + 1j * rng.standard_normal(f.shape))
+    return np.fft.ifftn(np.fft.ifftshift(np.where(inside, f, other))).real
+
+
+def to_bytes(volume: np.ndarray, stretch: bool = False) -> np.ndarray:
+    """uint8 of an integer volume: as it is if under 0.1 % of the voxels exceed 255 (those are cut); otherwise stretched to 0..255, or left as int16."""
+    if (volume > 255).mean() < 0.001:
+        return np.clip(volume, 0, 255).astype(np.uint8)
+    if not stretch:
+        return volume.astype(np.int16)
+    low, high = volume.min(), volume.max()
+    return np.rint((volume - low) / max(high - low, 1e-12) * 255).astype(np.uint8)
+
+
+def axis_rotation(axis: np.ndarray) -> np.ndarray:
+    """The rotation matrix that takes (1, 0, 0), the z direction of a volume, to an axis."""
+    a = np.asarray(axis, float) / np.linalg.norm(axis)
+    a = a if a[0] >= 0 else -a
+    v = np.cross([1.0, 0.0, 0.0], a)
+    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    return np.eye(3) + k + k @ k / (1 + a[0])
+
+
+def ring_center(image: np.ndarray, symmetry: int, precision: float = 1.0) -> np.ndarray:
+    """Shift (y, x) that makes a plane most alike to its own turns by 360 / symmetry about the centre: a grid of shifts scored by mean correlation."""
+    n = int(np.ceil(max(image.shape) / (4 * precision)))
+    steps = [np.linspace(-1, 1, n) * s / 4 for s in image.shape]
+    best, found = -np.inf, np.zeros(2)
+    for dy in steps[0]:
+        for dx in steps[1]:
+            moved = translate(image[None], (0, dy, dx))[0]
+            score = 0.0
+            for s in range(1, symmetry):
+                t = 2 * np.pi * s / symmetry
+                m = np.array([[1, 0, 0], [0, np.cos(t), -np.sin(t)], [0, np.sin(t), np.cos(t)]])
+                c = np.array([0, *((np.asarray(image.shape) - 1) / 2)])
+                turned = affine(moved[None], m, c - m @ c)[0]
+                a, b = moved - moved.mean(), turned - turned.mean()
+                score += (a * b).mean() / max(a.std() * b.std(), 1e-12) / max(1, symmetry - 1)
+            if score > best + 1e-12:
+                best, found = score, np.array([dy, dx])
+    return found

@@ -218,3 +218,28 @@ def postprocess(images: DataFrame, boxes: DataFrame, threshold: float = 0.2, min
         part = rows.select(F.lit(name).alias("step"), *cols)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def box_edges(boxes: DataFrame, colour: Column) -> DataFrame:
+    """(image_id, z, y, x, colour): the voxels of the twelve edges of each box, for drawing."""
+    b = boxes.withColumn("colour", colour)
+    parts = None
+    for a in AXES:
+        p, q = [x for x in AXES if x != a]
+        run = b.withColumn(a, F.explode(F.sequence(F.col(f"{a}1"), F.col(f"{a}2") - 1)))
+        for c in (p, q):
+            run = run.withColumn(c, F.explode(F.array(F.col(f"{c}1"), F.col(f"{c}2") - 1)))
+        run = run.select("image_id", "z", "y", "x", "colour")
+        parts = run if parts is None else parts.unionByName(run)
+    return parts.distinct()
+
+
+def verdicts(pred: DataFrame, truth: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """(image_id, box_id, verdict): fp and other predictions, tp and fn truth boxes, as match_counts() counts them."""
+    pairs = overlap_join(pred, truth)
+    p = pairs.groupBy("image_id", F.col("p_box_id").alias("box_id")).agg(F.max("iou").alias("best"))
+    t = pairs.groupBy("image_id", F.col("q_box_id").alias("box_id")).agg(F.max("iou").alias("best"))
+    best = F.coalesce("best", F.lit(0.0))
+    a = pred.select("image_id", "box_id").join(p, ["image_id", "box_id"], "left").select("image_id", "box_id", F.when(best < threshold, "fp").otherwise("hit").alias("verdict"))
+    b = truth.select("image_id", "box_id").join(t, ["image_id", "box_id"], "left").select("image_id", "box_id", F.when(best > threshold, "tp").otherwise("fn").alias("verdict"))
+    return a.unionByName(b)

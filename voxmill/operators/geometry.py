@@ -173,3 +173,16 @@ def points_seen(points: DataFrame, by: str) -> DataFrame:
     c = points.groupBy(by).agg(*(F.avg(a).alias("c" + a) for a in "zyx"), *(f(a).alias(f"{a}_{k}") for a in "zyx" for f, k in ((F.min, "low"), (F.max, "high"))))
     far = points.join(c.select(by, "cz", "cy", "cx"), by).groupBy(by).agg(F.max(F.sqrt(sum((F.col(a) - F.col("c" + a)) ** 2 for a in "zyx"))).alias("radius"))
     return c.join(far, by)
+
+
+def oriented_boxes_meet(p: str, q: str) -> Column:
+    """Whether two oriented boxes meet, by the fifteen separating directions. Columns <p>rot1..3, <p>t1..3 (centre) and <p>h1..3 (half sizes)."""
+    a, b = transpose(pose_matrix(p)), transpose(pose_matrix(q))  # rows: the boxes' axes
+    gap = [y - x for x, y in zip(shift(p), shift(q), strict=True)]
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    meet = F.lit(True)
+    for axis in [*a, *b, *(cross(u, v) for u in a for v in b)]:
+        reach = sum(F.col(f"{p}h{i + 1}") * F.abs(dot(a[i], axis)) + F.col(f"{q}h{i + 1}") * F.abs(dot(b[i], axis)) for i in range(3))
+        meet = meet & (F.abs(dot(gap, axis)) <= reach + 1e-9)
+    return meet

@@ -98,3 +98,21 @@ def latest_epoch(paths: DataFrame, regex: str) -> DataFrame:
     """The path with the largest number captured by regex (ties: the last name)."""
     n = F.regexp_extract("path", regex, 1)
     return paths.filter(n != "").agg(F.max_by("path", F.struct(n.cast("long"), "path")).alias("path"))
+
+
+def copy_items(items: DataFrame, data: DataFrame, order_items: list[str], order_data: list[str], update: dict[str, Column], keep: Column | None = None) -> DataFrame:
+    """Enabled items, the k-th with the k-th row of data, columns updated; rows for which keep is false go. Positions are within the set `set_id` of both."""
+    out = zip_positions(items.filter("enabled"), data, ["set_id"], order_items, order_data).withColumns(update)
+    return out if keep is None else out.filter(keep)
+
+
+def store(rows: DataFrame, path: str, parents: list[str], kind: str, lineage: str) -> None:
+    """Write a set and append its lineage edges (parent, child, kind) to the table at `lineage`."""
+    rows.write.mode("overwrite").parquet(path)
+    spark = rows.sparkSession
+    spark.createDataFrame([(p, path, kind) for p in parents], "parent string, child string, kind string").write.mode("append").parquet(lineage)
+
+
+def consistent(items: DataFrame, column: str) -> Column:
+    """Whether all items of a set share a value, as an aggregate."""
+    return F.count_distinct(column) <= 1

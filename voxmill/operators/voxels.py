@@ -146,3 +146,12 @@ def flip(rows: DataFrame, axis: str, n: int) -> DataFrame:
 def rotate90(rows: DataFrame, a: str, b: str, n: int) -> DataFrame:
     """A quarter turn from axis a to axis b, exact by index arithmetic."""
     return rows.withColumns({a: n - 1 - F.col(b), b: F.col(a)})
+
+
+def nearest_grid(samples: DataFrame, step: float, reach: int = 1) -> DataFrame:
+    """(gy, gx, value): the value of the nearest sample (y, x, value) to each grid point within `reach` cells of one; ties take the least value."""
+    around = F.sequence(F.lit(-reach), F.lit(reach))
+    s = samples.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
+    s = s.withColumns({"gy": (F.rint(F.col("y") / step) + F.col("i")).cast("long"), "gx": (F.rint(F.col("x") / step) + F.col("j")).cast("long")})
+    d2 = (F.col("gy") * step - F.col("y")) ** 2 + (F.col("gx") * step - F.col("x")) ** 2
+    return s.groupBy("gy", "gx").agg(F.min_by("value", F.struct(F.round(d2, 9), "value")).alias("value"))
