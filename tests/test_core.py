@@ -393,3 +393,25 @@ def test_more_operators(spark, tmp_path):
     p = spark.createDataFrame([(1, "a", 0, 0, 0, 4, 4, 4), (1, "b", 9, 9, 9, 12, 12, 12)], "image_id int, box_id string, x1 int, y1 int, z1 int, x2 int, y2 int, z2 int")
     t = spark.createDataFrame([(1, "t", 0, 0, 0, 4, 4, 4), (1, "u", 20, 0, 0, 24, 4, 4)], p.schema)
     assert {(r.box_id, r.verdict) for r in detection.verdicts(p, t).collect()} == {("a", "hit"), ("b", "fp"), ("t", "tp"), ("u", "fn")}
+
+
+def test_simulation_and_refinement(spark):
+    n = 9
+    truth = blob(n, (4, 4, 4), 1.2) + 0.6 * blob(n, (6, 4, 3), 0.9)
+    rows = [(i, float(90 * (i % 4)), float(90 * (i % 2)), 0.0, 0.0, 0.0, 0.0) for i in range(5)]
+    schema = "volume_id long, rot1 double, rot2 double, rot3 double, t1 double, t2 double, t3 double"
+    poses = spark.createDataFrame(rows, schema)
+    made = volumes.simulate(poses, truth, (0, 0, 0), 20.0, 1000.0, 4)
+    a = {r.volume_id: volumes.shaped(r) for r in made.collect()}
+    b = {r.volume_id: volumes.shaped(r) for r in volumes.simulate(poses.repartition(3), truth, (0, 0, 0), 20.0, 1000.0, 4).collect()}
+    assert all(np.array_equal(a[i], b[i]) for i in a)
+    assert all(np.corrcoef(a[i].ravel(), k.rotate(truth, np.array(rows[i][1:])).ravel())[0, 1] > 0.95 for i in a)
+    psf = np.zeros((3, 3, 3))
+    psf[1, 1, 1] = 1
+    clean = volumes.simulate(poses, truth, (0, 0, 0))
+    found, better = volumes.refine(clean, poses, psf, [(20.0, 2)], 1e-6)
+    assert found.shape == truth.shape and better.count() == 5
+    rod = np.zeros((9, 9, 9))
+    rod[4, 1:8, 4] = 1
+    turn = volumes.smallest_footprint(rod, np.array([[0, 0, 0, 0, 0, 0], [0, 90, 0, 0, 0, 0]], float))
+    assert turn[1] == 90

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
+from ..sources.shared import checkpointed
 
 VOLUME = "volume_id long, shape array<int>, data array<double>"
 
@@ -134,12 +135,40 @@ def _by(*cols):
 
 
 def refine(volumes: DataFrame, poses: DataFrame, psf: np.ndarray, steps: list[tuple[float, int]], weight: float = 1e-3, symmetry: int = 1) -> tuple[np.ndarray, DataFrame]:
-    """Alternate pose search and reconstruction; steps are (range in degrees, poses per angle). Poses are written after each step, which cuts their lineage."""
+    """Alternate pose search and reconstruction; steps are (range in degrees, poses per angle). Poses are checkpointed after each step, which cuts their lineage."""
     from .geometry import refined_grid
 
     reference = reconstruct(volumes, poses, psf, weight, symmetry)
     for spread, n in steps:
         grid = refined_grid(poses.select("volume_id", "rot1", "rot2", "rot3"), spread, n).select("volume_id", "rot1", "rot2", "rot3")
-        poses = volumes.sparkSession.createDataFrame(match(volumes, reference, psf, grid).drop("error").collect(), "volume_id long, rot1 double, rot2 double, rot3 double, t1 double, t2 double, t3 double")
+        poses = checkpointed(match(volumes, reference, psf, grid).drop("error"))
         reference = reconstruct(volumes, poses, psf, weight, symmetry)
     return reference, poses
+
+
+def simulate(poses: DataFrame, truth: np.ndarray, sigma: tuple[float, float, float], snr_db: float | None = None, photons: float | None = None, seed: int = 0) -> DataFrame:
+    """One seeded particle per pose (volume_id, rot1.., t1..): the true volume moved, blurred, and with Poisson and Gaussian noise if asked for.
+
+    Each particle draws from a generator of (seed, volume_id), so a data set is the same for any partitioning.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = []
+            for r in pdf.itertuples(index=False):
+                rng = np.random.default_rng((seed, int(r.volume_id)))
+                v = k.gaussian_blur(k.rotate(truth, _pose(r)), sigma)
+                if photons:
+                    v = rng.poisson(np.maximum(v, 0) * photons) / photons
+                if snr_db is not None:
+                    v = v + rng.normal(0, np.sqrt((v * v).mean() / 10 ** (snr_db / 10)), v.shape)
+                made.append(v)
+            yield pd.DataFrame({"volume_id": pdf["volume_id"], "shape": [list(v.shape) for v in made], "data": [v.ravel() for v in made]})
+
+    return poses.mapInPandas(run, VOLUME)
+
+
+def smallest_footprint(volume: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Of candidate poses the one after which the z projection covers the fewest pixels over Otsu's threshold (ties: the first)."""
+    sizes = [int((p > k.otsu(p)).sum()) for p in (k.rotate(volume, t).sum(0) for t in turns)]
+    return turns[int(np.argmin(sizes))]
