@@ -153,6 +153,7 @@ def judge(df: DataFrame, groups: DataFrame, fits: DataFrame, prefix: str = "", t
     """df (lang, source and prefixed STATS) with base_failed and kept. A row whose group has no fit is kept if the base rules pass."""
     lang, source, fit = hidden(df, "lang", "source", "fit")
     params = groups.join(fits, "gid").select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*(c for c in fits.columns if c != "gid")).alias(fit))
+    params = written(params, "params")  # with a known size: while small it is broadcast and no text is shuffled
     joined = df.join(params, df["lang"].eqNullSafe(params[lang]) & df["source"].eqNullSafe(params[source]), "left")
     inside = F.coalesce(_distance(_vector(prefix), lambda c: F.col(fit)[c]) <= chi2_quantile(1 - tail, _P), F.lit(True))
     return joined.withColumns({failed: base_failed(prefix), verdict: ~base_failed(prefix) & inside}).drop(lang, source, fit)
