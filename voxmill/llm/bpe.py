@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Characters of a leaf, bytes of a leaf inside one match, and the first window of either kind.
 LEAF_CHARS, LEAF_BYTES, WINDOW_CHARS, WINDOW_TOKENS = 8192, 1024, 32, 8
 #: What every engine takes for a non-space and a white-space character.
@@ -147,7 +149,7 @@ def _mapped(docs: DataFrame, column: str, new: str, kind: pa.DataType, f, ranks_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             values = pa.array([f(c, x) for x in batch.column(column).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), values], [*others, name])
 
@@ -161,7 +163,7 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_path, pattern)
         said = [str(i) for i in range(len(c.table))]
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, out_sha = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = c.encode(text or "")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,13 @@ def keep_if(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn(mark, F.monotonically_increasing_id()).filter(condition & (F.col(mark) >= 0)).drop(mark)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a worker holds Python objects for few rows at a time, however long their texts are."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def hidden(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df does not have."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import hidden, written
+from .common import flagged, hidden, slices, written
 from .components import components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     others = [c for c in docs.columns if c not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(x) for x in batch.column(text).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(found, pa.int64())], [*others, out])
 
@@ -84,24 +84,27 @@ def near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
 def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of docs that are their component's first by doc_id, with all columns.
 
-    Texts travel in no shuffle: the ids to go are found on fingerprints and taken out by an anti-join of ids. Rows that share the first doc_id
-    are told apart by their text's hash, and of exact repeats one stays; a null doc_id comes last.
+    What goes is found on fingerprints; only rows that a bitmap of their text hashes picks are shuffled to be taken out. Rows that
+    share the first doc_id are told apart by their text's hash and size, and of exact repeats one stays; a null doc_id comes last.
     """
-    key, size, fp = hidden(docs, "key", "size", "fp")
-    table = docs.select("doc_id", F.xxhash64("text").alias(key), F.octet_length(F.coalesce("text", F.lit(""))).alias(size), "text")
-    marked = written(fingerprints(table, out=fp), "prints")
+    key, size, fp, gone, flag = hidden(docs, "key", "size", "fp", "gone", "flag")
+    told = {key: F.xxhash64("text"), size: F.octet_length(F.coalesce("text", F.lit("")))}
+    marked = written(fingerprints(docs.select("doc_id", *(c.alias(k) for k, c in told.items()), "text"), out=fp), "prints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", key, size)
-    prints = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "distinct")
+    rows = marked.groupBy(F.col(fp).alias("fp"), "doc_id", key, size).agg(F.count("*").alias("n"))
+    prints = written(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     roots = components(ball_links(prints.select("fp"), radius))
-    named = prints.join(roots.withColumnRenamed("v", "fp"), "fp", "left")
-    firsts = named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", F.col(f"first.{key}").alias(key), F.col(f"first.{size}").alias(size))
-    firsts = written(firsts, "firsts")
-    hashed = docs.withColumns({key: F.xxhash64("text"), size: F.octet_length(F.coalesce("text", F.lit("")))})
-    repeated = marked.groupBy("doc_id", key, size).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", key, size)
-    right = firsts.select(F.col("doc_id").alias(fp), F.col(key).alias(key + "r"), F.col(size).alias(size + "r"))
-    same = hashed["doc_id"].eqNullSafe(right[fp]) & (hashed[key] == right[key + "r"]) & (hashed[size] == right[size + "r"])
-    kept = hashed.join(right, same, "left_semi").select(*docs.columns, key, size)
-    if repeated.isEmpty():
-        return kept.drop(key, size)
+    named = prints.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = named.groupBy("root").agg(F.min("first").alias("least"))
+    least = written(named.join(firsts, "root").select("fp", "least"), "firsts")
+    special = rows.join(least, "fp").withColumn("lost", ~order.eqNullSafe(F.col("least"))).filter("lost or n > 1")
+    special = written(special.select(F.col("doc_id").alias(fp), F.col(key).alias(key + "r"), F.col(size).alias(size + "r"), F.col("lost").alias(gone)), "lost")
+
+    split = flagged(docs.withColumns(told), key, special, key + "r", flag)
+    some, rest = split.filter(flag).drop(flag), split.filter(~F.col(flag)).select(*docs.columns)
+    same = some["doc_id"].eqNullSafe(special[fp]) & (some[key] == special[key + "r"]) & (some[size] == special[size + "r"])
+    kept = some.join(special, same, "left").filter(~F.coalesce(gone, F.lit(False)))
+    again = kept.filter(F.col(gone).isNotNull())  # exact repeats of a first row
     one = W.partitionBy("doc_id", key, size).orderBy(F.lit(0))
-    return kept.withColumn(fp, F.row_number().over(one)).filter(F.col(fp) == 1).select(*docs.columns)
+    again = again.withColumn(flag, F.row_number().over(one)).filter(F.col(flag) == 1)
+    return rest.unionByName(kept.filter(F.col(gone).isNull()).select(*docs.columns)).unionByName(again.select(*docs.columns))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hidden, written
+from .common import hidden, slices, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -163,7 +163,7 @@ def _patterns(docs: DataFrame) -> DataFrame:
     """(key, pattern) of every text, written: key tells texts apart for sampling, pattern has a digit of base 3 for each vote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [sum(v * 3**i for i, v in enumerate(votes(t))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.int32())], ["key", "pattern"])
 
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, sample: int = 4096) -> tuple[np.ndarray, float]:
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("post"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))], ["key", "post", "slots", "parts"])
 
@@ -204,7 +204,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, known = box.value, {}
-        for batch in batches:
+        for batch in slices(batches):
             values = []
             for text in batch.column("text").to_pylist():
                 words = _WORD.findall(text or "")
