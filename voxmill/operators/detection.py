@@ -60,12 +60,18 @@ def match_counts(pred: DataFrame, truth: DataFrame, threshold: float = 0.2) -> D
     A prediction is false if its best overlap is below the threshold; a truth box is found if its best is above it, else missed (an overlap that
     equals the threshold makes neither a hit nor a false prediction). Images with one side only count.
     """
+    rows = _best_overlaps(pred, truth)
+    p, t, best = F.col("side") == "p", F.col("side") == "q", F.col("best")
+    return rows.groupBy("image_id").agg(F.count_if(t & (best > threshold)).alias("tp"), F.count_if(p & (best < threshold)).alias("fp"), F.count_if(t & (best <= threshold)).alias("fn"))
+
+
+def _best_overlaps(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """(image_id, side, box_id, best): every prediction (side p) and truth box (side q) with its best overlap, 0 for none; one overlap join serves both sides."""
     pairs = overlap_join(pred, truth)
-    best = lambda k: pairs.groupBy("image_id", F.col(k).alias("box_id")).agg(F.max("iou").alias("best"))
-    p = pred.select("image_id", "box_id").join(best("p_box_id"), ["image_id", "box_id"], "left").select("image_id", F.lit(0).alias("tp"), F.when(F.coalesce("best", F.lit(0.0)) < threshold, 1).otherwise(0).alias("fp"), F.lit(0).alias("fn"))
-    hit = F.coalesce("best", F.lit(0.0)) > threshold
-    t = truth.select("image_id", "box_id").join(best("q_box_id"), ["image_id", "box_id"], "left").select("image_id", F.when(hit, 1).otherwise(0).alias("tp"), F.lit(0).alias("fp"), F.when(hit, 0).otherwise(1).alias("fn"))
-    return p.unionByName(t).groupBy("image_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_box_id").alias("box_id")) for s in "pq"))).alias("b")
+    best = pairs.select("image_id", sides, "iou").groupBy("image_id", "b.side", "b.box_id").agg(F.max("iou").alias("best"))
+    rows = pred.select("image_id", F.lit("p").alias("side"), "box_id").unionByName(truth.select("image_id", F.lit("q").alias("side"), "box_id"))
+    return rows.join(best, ["image_id", "side", "box_id"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
 def scores() -> dict[str, Column]:
@@ -236,10 +242,6 @@ def box_edges(boxes: DataFrame, colour: Column) -> DataFrame:
 
 def verdicts(pred: DataFrame, truth: DataFrame, threshold: float = 0.2) -> DataFrame:
     """(image_id, box_id, verdict): fp and other predictions, tp and fn truth boxes, as match_counts() counts them."""
-    pairs = overlap_join(pred, truth)
-    p = pairs.groupBy("image_id", F.col("p_box_id").alias("box_id")).agg(F.max("iou").alias("best"))
-    t = pairs.groupBy("image_id", F.col("q_box_id").alias("box_id")).agg(F.max("iou").alias("best"))
-    best = F.coalesce("best", F.lit(0.0))
-    a = pred.select("image_id", "box_id").join(p, ["image_id", "box_id"], "left").select("image_id", "box_id", F.when(best < threshold, "fp").otherwise("hit").alias("verdict"))
-    b = truth.select("image_id", "box_id").join(t, ["image_id", "box_id"], "left").select("image_id", "box_id", F.when(best > threshold, "tp").otherwise("fn").alias("verdict"))
-    return a.unionByName(b)
+    best, p = F.col("best"), F.col("side") == "p"
+    verdict = F.when(p, F.when(best < threshold, "fp").otherwise("hit")).otherwise(F.when(best > threshold, "tp").otherwise("fn"))
+    return _best_overlaps(pred, truth).select("image_id", "box_id", verdict.alias("verdict"))
