@@ -149,6 +149,40 @@ def test_line_dedup_recall(spark):
     assert want > 250 and sum(r.n_removed for r in out) >= 0.98 * want
 
 
+def check_line_pairs(spark, pairs):
+    """Of pairs of lines that resemble nothing else, those of similarity 0.8 or more lose a line each."""
+    grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    want = sum(len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y)) for x, y in pairs)
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(x for pair in pairs for x in pair)], "doc_id long, text string")
+    gone = line_dedup.dedup_lines(docs, counts=True).agg({"n_removed": "sum"}).first()[0]
+    assert want >= 0.9 * len(pairs) and 0.99 * want <= gone <= want
+
+
+def word(rnd, n=7):
+    return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def test_line_dedup_shared_passage(spark):
+    """Families with a passage in common, as boilerplate makes them, are all compared."""
+    import random
+
+    rnd = random.Random(5)
+    passage, pairs = " ".join(word(rnd) for _ in range(13)), []
+    for _ in range(1500):
+        own = [word(rnd) for _ in range(6)]
+        line = f"{passage} {' '.join(own)}"
+        at = rnd.randrange(len(passage) + 1, len(line))
+        pairs.append((line, line[:at] + "#" + line[at + 1 :]))
+    check_line_pairs(spark, pairs)
+
+
+def test_line_dedup_copies_of_shared_passage(spark, monkeypatch):
+    """With buckets of at most three lines and blocks of four, so that all large buckets take the exact way."""
+    monkeypatch.setattr(line_dedup, "LIMIT", 3)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    test_line_dedup(spark)
+
+
 def test_simhash(spark):
     rows = documents()
     prints = [simhash.fingerprint(r[1]) for r in rows]
