@@ -183,6 +183,21 @@ def test_line_dedup_copies_of_shared_passage(spark, monkeypatch):
     test_line_dedup(spark)
 
 
+def test_line_dedup_without_spaces(spark):
+    import random
+
+    rnd = random.Random(6)
+    head, pairs = "".join(chr(rnd.randrange(0x4E00, 0x9F00)) for _ in range(12)), []
+    for k in range(900):
+        line = (head if k % 2 else "") + "".join(chr(rnd.randrange(0x4E00, 0x9F00)) for _ in range(60 - 12 * (k % 2)))
+        at = rnd.randrange(12 * (k % 2), 60)
+        pairs.append((line, line[:at] + "x" + line[at + 1 :]))
+    for _ in range(600):
+        line = f"https://example.org/{word(rnd, 30)}/{word(rnd, 30)}"
+        pairs.append((line, line[:-1] + "#"))
+    check_line_pairs(spark, pairs)
+
+
 def test_simhash(spark):
     rows = documents()
     prints = [simhash.fingerprint(r[1]) for r in rows]
