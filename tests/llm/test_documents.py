@@ -198,6 +198,13 @@ def test_line_dedup_without_spaces(spark):
     check_line_pairs(spark, pairs)
 
 
+def test_line_dedup_short_lines(spark):
+    import random
+
+    rnd = random.Random(7)
+    check_line_pairs(spark, [(x, x + ".") for x in (f"{word(rnd, 8)} {word(rnd, 8)}" for _ in range(500))])
+
+
 def test_simhash(spark):
     rows = documents()
     prints = [simhash.fingerprint(r[1]) for r in rows]
