@@ -49,3 +49,16 @@ def test_pipeline(spark):
         assert now <= ids and now
         ids, docs = now, out
     assert {r.doc_id for r in p.run(spark, DIR).select("doc_id").collect()} == ids
+
+
+def test_chat_keeps_tied_turns(spark, tmp_path):
+    """Rows of a conversation with the same turn, the same text or no turn all count, as in the SQL."""
+    import hashlib
+
+    from voxmill.llm.queries import op6_chat
+
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, None, "user", "e"), (1, None, "user", "d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (got,) = op6_chat(spark, str(tmp_path)).filter("conv_id = 1").collect()
+    told = "".join(f"{r}\n{t}\n" for r, t in (("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "c"), ("user", "d"), ("user", "e")))
+    assert got.n_turns == 6 and got.loss_chars == 2 and got.turns_sha256 == hashlib.sha256(told.encode()).hexdigest()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import bpe, chat, line_dedup, packing, rabitq, simhash, token_files, warc, weak_labels
 from .quality_rules import quality_table
@@ -41,7 +42,9 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    # rows with the same or no turn are turns of their own
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text"))
+    events = rows.unionByName(extra).withColumn("turn", place).select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
     return chat.digests(chat.read_back(chat.render(chat.reconstruct(events))))
 
 
