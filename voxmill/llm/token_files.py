@@ -7,6 +7,7 @@ and each lane of a block from its own bit offset. Documents lie in ascending doc
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,14 +32,18 @@ _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class ChunkCoder:
-    """Encodes texts with the tokenizers library, piece by piece, remembering the ids of pieces seen before.
+    """Encodes texts with the tokenizers library in its default settings, piece by piece, remembering the ids of pieces seen before.
 
     For a tokenizer like word_bpe_49k, whose normalizer composes and lower-cases characters on their own and whose pre-tokenizer splits by a
     pattern that drops white space, a text's ids are the ids of its pieces in a row. Texts of characters that are already composed, and whose class and
     lower case no library disputes, are cut by the pattern; new pieces are encoded together as one text, and fall apart again after each token that ends a word.
-    Other texts are cut at ASCII white space only, which no normalisation or match crosses, and each chunk is encoded whole.
+    Other texts, and those that hold an added token's string (which the library takes for that token), are cut at ASCII white space only, which no
+    normalisation or match crosses, and each chunk is encoded whole. A tokenizer whose file names another normalizer or pattern gets whole texts.
     """
 
+    #: The normalizer and the pattern under which texts fall into pieces.
+    _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     _LETTERS = "a-zß-öø-ÿœ"
     _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ¡¿«»–—‘’“”…€§°]*")
     _PIECE = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s{_LETTERS}0-9]+")
@@ -48,7 +53,13 @@ class ChunkCoder:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True
+        told = json.loads(self._t.to_str())
+        first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        pieces = (told.get("normalizer") or {}).get("normalizers") == self._NORMAL and first.get("type") == "Split" and first.get("pattern") == {"Regex": self._SPLIT} and first.get("invert")
+        added = [x["content"] for x in told["added_tokens"]]
+        #: Whether texts fall apart at white space and pieces; what an added token's string looks like.
+        self._cut = bool(pieces and told["model"].get("end_of_word_suffix") == "</w>" and not any(x["normalized"] or _CHUNK.fullmatch(x["content"]) is None for x in told["added_tokens"]))
+        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.size = self._t.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._ends = np.zeros(self.size, bool)
@@ -79,7 +90,9 @@ class ChunkCoder:
             for text in texts[i : i + 256]:
                 if not text:
                     parts.append([])
-                elif not self._PLAIN.fullmatch(text):
+                elif not self._cut:
+                    parts.append([x.tobytes() for x in self._ids([text])])
+                elif not self._PLAIN.fullmatch(text) or self._added.search(text):
                     parts.append([x.tobytes() for x in self._ids(_CHUNK.findall(text))])
                 else:
                     pieces = self._PIECE.findall(text.lower())
