@@ -80,6 +80,49 @@ def test_chat_events(spark):
     assert got == {1: [("user", "Hello!"), ("assistant", "Good day"), ("user", "And now?")], 2: [("assistant", "streamed")]}
 
 
+def plain_fold(log):
+    """(role, text) of the turns of each conversation, event by event."""
+    state = {}
+    none_first = lambda x: (x is not None, x if x is not None else 0)
+    for conv, _, turn, kind, role, text in sorted(log, key=lambda e: (none_first(e[1]), none_first(e[2]), e[3] or "message", none_first(e[4]) if e[4] is None else (True, e[4]), none_first(e[5]) if e[5] is None else (True, e[5]))):
+        turns, kind = state.setdefault(conv, {}), kind or "message"
+        t = turns.setdefault(turn, ["", "", False])
+        t[1] = t[1] + (text or "") if kind == "delta" else text or ""
+        if role is not None and (kind == "message" or not t[2]):
+            t[0], t[2] = role, True
+        if kind == "regenerate" and turn is not None:
+            for later in [k for k in turns if k is not None and k > turn]:
+                del turns[later]
+    return {c: [(t[0], t[1]) for _, t in sorted(turns.items(), key=lambda x: none_first(x[0]))] for c, turns in state.items()}
+
+
+def test_chat_fold_is_that_of_the_events_in_order(spark):
+    rng = np.random.default_rng(8)
+    log = [
+        (0, 0, 0, "message", "user", "Q"), (0, 1, 1, "message", "assistant", "A1"), (0, 2, 2, "message", "user", "follow-up"), (0, 3, 1, "regenerate", None, None), (0, 4, 1, "delta", None, "A2"), (0, 5, 2, "message", "user", "NEW"),
+        (0, 6, 3, "message", "assistant", "A3"), (-1, 0, 0, "message", "user", "hello"), (-1, 1, 0, "delta", "assistant", " there"), (-2, 0, 0, "delta", None, "x"), (-2, None, 0, "message", None, "null seq"), (None, 0, None, "regenerate", None, None), (None, 0, 1, "edit", "user", "e"),
+    ]
+    for conv in range(1, 400):
+        for seq in range(int(rng.integers(1, 14))):
+            kind = [None, "message", "delta", "delta", "edit", "regenerate"][rng.integers(6)]
+            log.append((conv, seq, int(rng.integers(0, 5)), kind, [None, "user", "assistant"][rng.integers(3)], None if kind == "regenerate" or rng.random() < 0.1 else f"<{conv}.{seq}>"))
+    want = plain_fold(log)
+    assert want[0] == [("user", "Q"), ("assistant", "A2"), ("user", "NEW"), ("assistant", "A3")] and want[-1] == [("user", "hello there")]
+    rng.shuffle(log)
+    events = spark.createDataFrame([tuple(None if x is None else x if isinstance(x, str) else int(x) for x in e) for e in log], "conv_id long, seq long, turn long, kind string, role string, text string")
+    assert {r.conv_id: [tuple(t)[1:] for t in r.turns] for r in chat.reconstruct(events).collect()} == want
+
+
+def test_chat_query_feeds_all_kinds_of_events(spark):
+    from voxmill.llm.queries import _chat_log
+
+    rows = [(1, i + 1, "assistant" if i % 3 == 1 else [None, "user"][i % 2], t) for i, t in enumerate([*CASES, None, "ab", "last"])] + [(2, 1, "assistant", "only"), (2, 2, "assistant", "twice")]
+    log = _chat_log(spark.createDataFrame(rows, "conv_id long, place long, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.reconstruct(log).collect()}
+    assert got == {c: [(p, r or "", t or "") for k, p, r, t in rows if k == c] for c in (1, 2)}
+
+
 def plain_links(rows, threshold=0.95):
     v = [None if x is None or not len(x) or any(y is None or not np.isfinite(y) for y in x) or not any(x) else np.array(x, np.float32).astype(float) for _, x in rows]
     links = [[j for j in range(len(v)) if i != j and v[i] is not None and v[j] is not None and len(v[i]) == len(v[j]) and v[i] @ v[j] / (np.linalg.norm(v[i]) * np.linalg.norm(v[j])) >= threshold] for i in range(len(v))]

@@ -1,12 +1,13 @@
 """Chat formatting by event-sourced reconstruction. Built-in functions only.
 
 A log holds events (conv_id, seq, turn, kind, role, text). Kinds (null counts as message):
-- message: sets role and text of its turn;
-- delta: appends its text to its turn (and sets the role if the turn has none);
+- message: sets role and text of its turn (a null role leaves the role);
+- delta: appends its text to its turn;
 - edit: replaces the text of its turn;
-- regenerate: empties its turn (null text: to be streamed anew) and drops the later turns that began before it.
-Events are dealt by conversation and sorted by (seq, turn, kind, role, text). A turn's text is the concatenation of what
-follows its last setting event, so each turn folds on its own and no state grows with the conversation.
+- regenerate: empties its turn (null text: to be streamed anew) and drops all earlier events of later turns, which may then be sent anew.
+Only a message changes the role of a turn that has one; another event's role counts for a turn without. Events are dealt by conversation and sorted by
+(seq, turn, kind, role, text); a null seq is earlier than all. A turn's text is the concatenation of what follows its last setting event, so each turn folds on
+its own and no state grows with the conversation. A conversation's turns end up in one row, so one conversation has to fit a task.
 
 Template: <turn role>\\n text </turn>\\n for each turn. Inside role and text the strings <turn and </turn and the escape
 character \\ are escaped (\\ to \\b, the < of a control string to \\l), so a formatted conversation can be read back whatever it says.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 OPEN, CLOSE = "<turn ", "</turn>\n"
 #: The role whose texts are trained on.
@@ -34,23 +36,25 @@ def unescape(text: Column) -> Column:
 def reconstruct(events: DataFrame) -> DataFrame:
     """(conv_id, turns: array of (turn, role, text)) in turn order, one row per conversation.
 
-    A null text is empty and a null role the empty role; a null conv_id is a conversation of its own; turns that are null come first.
-    Rows that repeat are events like any other: a repeated message sets the same text again.
+    A null text is empty and a null role the empty role; a null conv_id is a conversation of its own; turns that are null come first and drop no others.
+    Rows that repeat are events like any other: a repeated message sets the same text again, a repeated delta is said twice. Other columns are ignored; no
+    events give no conversations.
     """
     e = events.select("conv_id", "turn", F.struct(F.col("seq"), F.col("turn"), F.coalesce("kind", F.lit("message")).alias("kind"), F.col("role"), F.col("text")).alias("e"))
     by_turn = e.repartition("conv_id").groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("e")).alias("log"))
-    n = F.size("log")
-    reset = F.array_max(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("log", i)["kind"] != "delta"))
-    first = F.greatest(F.coalesce(reset, F.lit(0)), F.lit(0))
-    text = F.array_join(F.transform(F.slice("log", first + 1, n), lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    role = F.array_compact(F.transform(F.reverse("log"), lambda x: x["role"]))
     again = F.array_max(F.transform(F.filter("log", lambda x: x["kind"] == "regenerate"), lambda x: x["seq"]))
-    turns = by_turn.select("conv_id", F.struct("turn", F.coalesce(F.get(role, F.lit(0)), F.lit("")).alias("role"), text.alias("text"), F.get("log", F.lit(0))["seq"].alias("began"), again.alias("again")).alias("t"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("all"))
-    cuts = F.filter("all", lambda x: x["again"].isNotNull())
-    whole = whole.select("conv_id", "all", cuts.alias("cuts"))
-    kept = F.when(F.size("cuts") == 0, F.col("all")).otherwise(F.filter("all", lambda x: ~F.exists("cuts", lambda c: F.coalesce((c["turn"] < x["turn"]) & (c["again"] > x["began"]), F.lit(False)))))
-    return whole.select("conv_id", F.transform(kept, lambda x: F.struct(x["turn"], x["role"], x["text"])).alias("turns"))
+    earlier_turns = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn")).rowsBetween(W.unboundedPreceding, -1)
+    cut = F.max(F.when(F.col("turn").isNotNull(), again)).over(earlier_turns)
+    live = by_turn.select("conv_id", "turn", "log", cut.alias("cut"))
+    live = live.select("conv_id", "turn", F.when(F.col("cut").isNull(), F.col("log")).otherwise(F.filter("log", lambda x: x["seq"] >= F.col("cut"))).alias("log"))
+    reset = F.array_max(F.filter(F.sequence(F.lit(0), F.size("log") - 1), lambda i: F.get("log", i)["kind"] != "delta"))
+    text = F.array_join(F.transform(F.slice("log", F.coalesce(reset, F.lit(0)) + 1, F.size("log")), lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    named = F.filter("log", lambda x: x["role"].isNotNull())
+    said = F.filter("log", lambda x: x["role"].isNotNull() & (x["kind"] == "message"))
+    role = F.coalesce(F.try_element_at(said, F.lit(-1))["role"], F.get(named, F.lit(0))["role"], F.lit(""))
+    # collect_list leaves out the nulls of turns of which nothing is left
+    turn = F.when(F.size("log") > 0, F.struct("turn", role.alias("role"), text.alias("text")))
+    return live.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
 def escape_role(role: Column) -> Column:

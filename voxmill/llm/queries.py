@@ -38,14 +38,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def _chat_log(rows: DataFrame) -> DataFrame:
+    """A log (conv_id, seq, turn, kind, role, text) in no order whose fold is the turns of rows (conv_id, place, role, text).
+
+    An assistant's turn begins as another draft, after which a next turn is begun; it is then regenerated, which drops that next turn, and streamed in
+    deltas. Of the other turns, those at odd places are a message that is edited, and those at even places are streamed.
+    """
+    n, place = F.char_length("text"), F.col("place")
+    event = lambda k, kind, role, text, turn=place: F.struct((place * 16 + k).alias("seq"), turn.alias("turn"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    piece = lambda i: F.substring("text", F.floor(n * i / 4).cast("int") + 1, (F.floor(n * (i + 1) / 4) - F.floor(n * i / 4)).cast("int"))
+    stream = lambda first: [event(8 + i, "delta", first if i == 0 else none, piece(i)) for i in range(4)]
+    role = F.col("role")
+    again = [event(0, "message", role, F.lit("draft")), event(1, "delta", F.lit("user"), F.lit(" of an answer")), event(2, "message", F.lit("draft"), F.lit("too early"), place + 1), event(3, "regenerate", none, none), *stream(none)]
+    edited = [event(0, "message", role, F.lit("draft")), event(1, "edit", none, F.col("text"))]
+    log = F.when(role == chat.LEARNED, F.array(*again)).when(place % 2 == 1, F.array(*edited)).otherwise(F.array(*stream(role)))
+    return rows.withColumn("text", F.coalesce("text", F.lit(""))).select("conv_id", F.explode(F.shuffle(log, F.lit(7))).alias("e")).select("conv_id", "e.*")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     # rows with the same or no turn are turns of their own
     place = F.row_number().over(W.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text"))
-    events = rows.unionByName(extra).withColumn("turn", place).select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
-    return chat.digests(chat.read_back(chat.render(chat.reconstruct(events))))
+    log = _chat_log(rows.unionByName(extra).withColumn("place", place.cast("long")))
+    return chat.digests(chat.read_back(chat.render(chat.reconstruct(log))))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
