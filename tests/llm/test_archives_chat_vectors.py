@@ -160,13 +160,36 @@ def test_vectors(spark, monkeypatch, block):
     assert rabitq.near_vectors(df.limit(0)).collect() == []
 
 
+def test_large_and_tiny_doubles(spark):
+    """Squares of such parts are out of range, their cosines aren't."""
+    base = [0.3, -0.7, 0.2, 0.5]
+    rows = [(i, [x * s for x in base]) for i, s in enumerate((1.0, 2.0, 1e200, 3e200, 1e-200, 5e-324 * 2**40))] + [(9, [1e200, 0.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rabitq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (5, 0) for i in range(6)} | {9: (0, 9)}
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
-    a = rng.standard_normal((200, 48))
-    b = a + rng.standard_normal(a.shape) * 0.3
-    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    i, j = np.divmod(np.arange(40000), 200)
-    about, err = rabitq.Coder(48, 4, 4, 4).estimate(a, b, i, j)
-    true = (a @ b.T).ravel()
+    about, far, true = [], [], []
+    for dim in (48, 64, 200):
+        a = rng.standard_normal((200, dim))
+        b = a + rng.standard_normal(a.shape) * 0.3
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+        coder = rabitq.Coder(dim, 4, 4)
+        i, j = np.divmod(np.arange(40000), 200)
+        e, f = coder.estimate(coder.records(a), coder.records(b), i, j)
+        about, far, true = np.append(about, e), np.append(far, f), np.append(true, (a @ b.T).ravel())
     assert abs((about - true).mean()) < 0.003 and abs((about - true)[true > 0.8].mean()) < 0.01
-    assert (np.abs(about - true) <= err).mean() > 0.999
+    high = true >= 0.95
+    assert high.sum() > 200 and (about >= 0.95 - far)[high].all()
+    assert (about >= 0.95 - far)[true < 0.3].mean() < 0.01
+
+
+def test_recall_on_the_given_vectors(spark):
+    """All links of all rows at sf0.01, the loss of buckets and of bounds together."""
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    v = np.array([x for _, x in rows], np.float32).astype(float)
+    norm = np.sqrt((v * v).sum(1))
+    real = int(((v @ v.T) / np.outer(norm, norm) >= 0.95).sum() - len(v))
+    found = sum(r.n_links for r in rabitq.near_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect())
+    assert 0.999 * real <= found <= real

@@ -18,7 +18,7 @@ _WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, on a local master only (tests), a temporary one of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(found)
         return found.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxmill-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -105,6 +107,20 @@ def hidden(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def join_unique(rows: DataFrame, table: DataFrame, on: list[str], how: str, share: int = 1000) -> DataFrame:
+    """rows.join(table, on, how) (inner or left) for a table with one row for each key, without a task for each key that many rows have.
+
+    The table's rows for the keys of over 1 / share of all rows (and 1,000 rows) are broadcast, at most share of them; the other keys are joined by shuffle.
+    """
+    counts = written(rows.groupBy(*on).agg(F.count("*").alias("__n")).filter("__n > 1000"), "counts")
+    heavy = counts.filter(F.col("__n") > rows.count() / share).select(*on) if not counts.isEmpty() else counts.limit(0)
+    if heavy.isEmpty():
+        return rows.join(table, on, how)
+    top = table.join(F.broadcast(heavy), on, "left_semi")
+    light = rows.join(F.broadcast(heavy), on, "left_anti").join(table, on, how)
+    return light.unionByName(rows.join(F.broadcast(heavy), on, "left_semi").join(F.broadcast(top), on, how))
+
+
 def flagged(rows: DataFrame, by: str, wanted: DataFrame, key: str, flag: str) -> DataFrame:
     """rows with flag: whether the hash `by` may be among the hashes `key` of wanted, by a bitmap of BITMAP_BITS bits; false hits are possible, false misses not."""
     part, bits = hidden(rows, "part", "bits")

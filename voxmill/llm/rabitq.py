@@ -1,12 +1,15 @@
 """Embedding near-duplicates by binary codes of randomised rotations.
 
-A vector's code is the signs of its unit vector after `rotations` random rotations. For each rotation a correction factor is stored, with which the inner product of
-the code and another rotated vector (itself scalar-quantised to 4 bits) estimates the cosine without bias, and whose size gives the estimate's
-spread. Pairs whose confidence bound stays below the threshold are left out; the others are computed exactly, in double precision.
+A vector's code is the signs of its unit vector after a random rotation; with it are stored a correction factor and the rotated vector itself, scalar-quantised
+to 4 bits. The inner product of one vector's code with another's quantised rotation, divided by the factor, estimates the cosine without bias. Were the cosine at the
+threshold, the estimate would lie within SPREAD standard deviations of it (and within a bound that always holds, if that is less); pairs whose estimate is
+lower are left out, the others are computed exactly, in double precision.
 
-Candidates meet in tables keyed by groups of sign bits; the number of tables follows from the wanted recall at the threshold. Equal vectors are one
-class with a count. A pair is counted in the first table in which it meets and in no other, so link counts need no list of pairs, and of each block only a
-spanning forest of its links is passed on. Buckets of over BLOCK classes are cut into blocks, and pairs of blocks dealt out, so none meets in one task.
+Codes and factors are computed once and stored. Candidates meet in tables keyed by groups of sign bits; the number of tables follows from the wanted recall at the
+threshold. Only codes are shuffled to the tables' buckets; what is undecided there is reported as the vectors of a bucket that have an undecided pair, and
+raw vectors are fetched for these alone. Equal vectors are one class with a count. A pair is counted in the first table in which it meets and in no
+other, so link counts need no list of pairs, and of each block only a spanning forest of its links is passed on. Buckets of over BLOCK classes are cut into
+blocks, and pairs of blocks dealt out, so none meets in one task.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_unique, written
 from .components import components
 
 BLOCK, SEED = 1024, 20240
-#: Standard deviations of an estimate's error that still count as possible.
-SPREAD = 4.0
+#: Standard deviations of an estimate's error that still count as possible: one pair at the threshold in three million is left out.
+SPREAD = 5.0
 _PLANES = 4
 
 
@@ -49,38 +52,56 @@ def _words(signs: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    def __init__(self, dim: int, rotations: int, tables: int, bits: int):
-        self.dim, self.tables, self.bits = dim, tables, bits
-        self.turns = [rotation(dim, k) for k in range(rotations)]
+    """Stored records of unit vectors, and the estimates that two records allow. A record: words of the code, of the planes of the quantised vector (least bit first), and
+    the factors (agreement of code and vector, least value, step, sum of levels) as float64."""
+
+    def __init__(self, dim: int, tables: int, bits: int, threshold: float = 0.95):
+        self.dim, self.tables, self.bits, self.threshold = dim, tables, bits, threshold
+        self.turn = rotation(dim, 0)
+        self.dither = np.random.default_rng((SEED, dim)).random(dim)
         more = -(-tables * bits // dim)
         self.planes = np.concatenate([rotation(dim, 1 << 16 | k) for k in range(more)])[: tables * bits]
+        self.words = -(-dim // 64)
+        self.key_bytes = -(-tables * bits // 8)
+
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        """Packed sign bits of all tables, a row of key_bytes bytes for each vector."""
+        return np.packbits(unit @ self.planes.T > 0, axis=1, bitorder="little")
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
+    def keys(self, signs: np.ndarray) -> np.ndarray:
         """The bucket of each vector in each table."""
-        signs = unit @ self.planes.T > 0
-        return (signs.reshape(len(unit), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))).astype(np.int64)
+        flat = np.unpackbits(signs, axis=1, count=self.tables * self.bits, bitorder="little").reshape(len(signs), self.tables, self.bits)
+        return (flat @ (1 << np.arange(self.bits, dtype=np.int64))).astype(np.int64)
+
+    def records(self, unit: np.ndarray) -> np.ndarray:
+        """The stored records, as rows of uint64."""
+        x = unit @ self.turn.T
+        agree = np.maximum(np.abs(x).sum(1) / self.dim**0.5, 1e-9)
+        low, top = x.min(1), x.max(1)
+        step = np.maximum((top - low) / (2**_PLANES - 1), 1e-12)
+        level = np.clip(np.floor((x - low[:, None]) / step[:, None] + self.dither), 0, 2**_PLANES - 1).astype(np.uint8)
+        factors = np.stack([agree, low, step, level.sum(1, dtype=np.int64).astype(float)], 1)
+        return np.hstack([_words(x > 0), *(_words(level >> p & 1 > 0) for p in range(_PLANES)), factors.view(np.uint64)])
 
     def estimate(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimates of the cosines of a[i] and b[j], their possible errors) from codes of a and quantised rotations of b."""
-        total, err2 = np.zeros(len(i)), np.zeros(len(i))
-        rng = np.random.default_rng(SEED)
-        for turn in self.turns:
-            x, y = a @ turn.T, b @ turn.T
-            code, agree = _words(x > 0), np.maximum(np.abs(x).sum(1) / self.dim**0.5, 1e-9)
-            low, step = y.min(1), np.maximum((y.max(1) - y.min(1)) / (2**_PLANES - 1), 1e-12)
-            level = np.clip(np.floor((y - low[:, None]) / step[:, None] + rng.random(y.shape)), 0, 2**_PLANES - 1).astype(np.uint8)
-            dot = np.zeros(len(i))
-            for p in range(_PLANES):
-                plane = _words(level >> p & 1 > 0)
-                dot += np.bitwise_count(code[i] & plane[j]).sum(1) * float(1 << p)
-            ones = np.bitwise_count(code).sum(1).astype(float)
-            # sum of signs * y, from the bits set and the sum of all
-            with_code = step[j] * dot + low[j] * ones[i]
-            signed = (2 * with_code - (step * level.sum(1) + low * self.dim)[j]) / self.dim**0.5
-            total += signed / agree[i]
-            err2 += (1 - np.minimum(agree[i], 1) ** 2) / agree[i] ** 2 / max(1, self.dim - 1) + (step[j] / agree[i]) ** 2 / 4
-        n = len(self.turns)
-        return total / n, SPREAD * np.sqrt(err2) / n
+        """(estimates of the cosines of the vectors of records a[i] and b[j], how far below the threshold they may lie if the cosine is at the threshold)."""
+        w = self.words
+        code, factors = a[:, :w], np.ascontiguousarray(a[:, w * (1 + _PLANES) :]).view(float)
+        other = np.ascontiguousarray(b[:, w * (1 + _PLANES) :]).view(float)
+        dot = np.zeros(len(i))
+        for p in range(_PLANES):
+            dot += np.bitwise_count(code[i] & b[j, w * (1 + p) : w * (2 + p)]).sum(1) * float(1 << p)
+        ones = np.bitwise_count(code).sum(1).astype(float)
+        low, step, levels = other[j, 1], other[j, 2], other[j, 3]
+        agree = factors[i, 0]
+        # sum of signs * vector, from the bits set and the sum of all
+        signed = (2 * (step * dot + low * ones[i]) - (step * levels + low * self.dim)) / self.dim**0.5
+        side = math.sqrt(max(0.0, 1 - self.threshold**2))
+        ratio = np.sqrt(np.maximum(0, 1 - np.minimum(agree, 1) ** 2)) / agree * side
+        rounding = step / agree / 2
+        far = SPREAD * np.sqrt(ratio**2 / max(1, self.dim - 1) + rounding**2)
+        # Cauchy-Schwarz; a rounded part is off by a step at most
+        return signed / agree, np.minimum(far, ratio + 2 * rounding * self.dim**0.5)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,36 +118,32 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_block(coder: Coder, table: int, left: tuple, right: tuple | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, links counted here for each, an id to connect each with) of one block, or of the pairs between two.
-
-    A side is (ids, vectors as float64, counts).
-    """
-    one = right is None
-    ids = left[0] if one else np.concatenate([left[0], right[0]])
-    raw = left[1] if one else np.concatenate([left[1], right[1]])
-    weight = left[2] if one else np.concatenate([left[2], right[2]])
-    norm = np.sqrt((raw * raw).sum(1))
-    unit = raw / norm[:, None]
-    keys = coder.keys(unit)
-    m, n = len(left[0]), len(ids)
-    links, label = np.zeros(n, np.int64), np.arange(n)
-    for lo in range(0, m, 256):
-        hi = min(m, lo + 256)
-        cols = np.arange(lo if one else m, n)
+def undecided(coder: Coder, table: int, records: np.ndarray, keys: np.ndarray, m: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices (i, j) of the pairs of a block (m is None) or between its first m rows and the others that meet in no table before this one and may reach the threshold."""
+    n, rows = len(records), len(records) if m is None else m
+    for lo in range(0, rows, 256):
+        hi = min(rows, lo + 256)
+        cols = np.arange(lo if m is None else m, n)
         new = np.ones((hi - lo, len(cols)), bool)
         for t in range(table):
             new &= keys[lo:hi, t, None] != keys[None, cols, t]
         i, j = np.nonzero(new)
         i, j = i + lo, cols[j]
-        if one:
+        if m is None:
             i, j = i[i < j], j[i < j]
-        if not len(i):
-            continue
-        about, err = coder.estimate(unit[lo:hi], unit[cols], i - lo, j - cols[0])
-        maybe = about + err >= threshold
-        i, j = i[maybe], j[maybe]
-        exact = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= threshold
+        if len(i):
+            about, far = coder.estimate(records[lo:hi], records[cols], i - lo, j - cols[0])
+            maybe = about >= coder.threshold - far
+            yield i[maybe], j[maybe]
+
+
+def link_block(coder: Coder, table: int, ids: np.ndarray, records: np.ndarray, keys: np.ndarray, raw: np.ndarray, weight: np.ndarray, m: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, links counted here for each, an id to connect each with) of one block (m is None), or of the pairs between its first m rows and the others."""
+    n = len(ids)
+    norm = np.sqrt((raw * raw).sum(1))
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    for i, j in undecided(coder, table, records, keys, m):
+        exact = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= coder.threshold
         i, j = i[exact], j[exact]
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
@@ -137,14 +154,42 @@ def link_block(coder: Coder, table: int, left: tuple, right: tuple | None, thres
     return ids[used], links[used], ids[label[used]]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, rotations: int = 4) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding: array of float or double).
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one length as float64, each times a power of two that keeps squares in range and changes no cosine."""
+    raw = np.asarray(lists.flatten(), dtype=np.float64).reshape(-1, dim)
+    top = np.abs(raw).max(1, initial=0)
+    return np.where(((top > 1e100) | (top < 1e-100))[:, None], np.ldexp(raw, -np.frexp(top)[1][:, None]), raw)
+
+
+def _rows(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
+    """Binary values of one size as rows."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys of sorted batches."""
+    group, last = [], None
+    for batch in batches:
+        code = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+        cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist(), len(code)] if len(code) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if group and tuple(code[a]) != last:
+                yield pa.Table.from_batches(group)
+                group = []
+            last = tuple(code[a])
+            group.append(batch.slice(a, b - a))
+    if group:
+        yield pa.Table.from_batches(group)
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding: array of float or double; others are ignored).
 
     n_links: other rows at cosine threshold or more; component_id: the smallest vec_id that links reach; kept: it is the row's own. Vectors that are
     null, empty, zero or hold null or non-finite parts link with nothing, nor do vectors of different lengths. Repeated rows are rows; null ids link like
-    others and never name a component unless all of its ids are null.
+    others and never name a component unless all of its ids are null. No rows give none.
     """
-    spark = vectors.sparkSession
     wide = dict(vectors.dtypes)["embedding"]
     wide = "array<float>" if "float" in wide else "array<double>"
     v = F.col("embedding").cast(wide)
@@ -152,62 +197,64 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & (big > 0) & (big < float("inf"))
     rows = vectors.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), F.transform(v, lambda x: x + F.lit(0).cast("float" if wide == "array<float>" else "double"))).alias("v"))
     classes = written(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "vectors")
-    n = classes.count()
-    tables, bits = table_plan(n, threshold, recall)
+    tables, bits = table_plan(classes.count(), threshold, recall)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders: dict[int, Coder] = {}
         for batch in batches:
             lists = batch.column("v")
             sizes = np.asarray(pa.compute.list_value_length(lists))
-            keys = np.empty((len(sizes), tables), np.int64)
-            for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                raw = np.asarray(lists.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(len(rows), dim)
-                coder = coders.setdefault(int(dim), Coder(int(dim), 0, tables, bits))
-                keys[rows] = coder.keys(raw / np.sqrt((raw * raw).sum(1))[:, None])
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sizes, pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))], ["cls", "dim", "keys"])
-
-    keyed = written(classes.select("cls", "v").mapInArrow(deal, "cls long, dim int, keys array<long>"), "keys")
-    met = keyed.select("cls", "dim", F.posexplode("keys").alias("t", "key"))
-    sizes = met.groupBy("dim", "t", "key").agg(F.count("*").alias("m")).filter("m > 1").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
-    placed = met.join(sizes, ["dim", "t", "key"]).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int"))
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                raw = _matrix(lists.take(pa.array(at)), dim)
+                unit = raw / np.sqrt((raw * raw).sum(1))[:, None]
+                coder = coders.setdefault(dim, Coder(dim, tables, bits, threshold))
+                signs, records = coder.signs(unit), coder.records(unit)
+                cols = [pa.array([x.tobytes() for x in signs], pa.binary()), pa.array([x.tobytes() for x in records], pa.binary()), pa.array(list(coder.keys(signs)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(np.full(len(at), dim), pa.int32()), *cols], ["cls", "n", "dim", "signs", "record", "keys"])
+
+    coded = written(classes.select("cls", "n", "v").mapInArrow(store, "cls long, n long, dim int, signs binary, record binary, keys array<long>"), "codes")
+    bucket, block = ["dim", "t", "key"], ["dim", "t", "key", "p", "q"]
+    met = coded.select("cls", "n", "dim", "signs", "record", F.posexplode("keys").alias("t", "key"))
+    sizes = met.groupBy(*bucket).agg(F.count("*").alias("m")).filter("m > 1").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m")
+    placed = join_unique(met, written(sizes, "buckets"), bucket, "inner").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))
-    dealt = placed.select("cls", "dim", "t", "key", "i", F.explode(pairs).alias("pq")).select("cls", "dim", "t", "key", "pq.p", "pq.q", "i")
-    full = dealt.join(classes.select("cls", "v", "n"), "cls")
+    dealt = placed.select("cls", "n", "dim", "signs", "record", "t", "key", "i", F.explode(pairs).alias("pq")).select("cls", "n", "dim", "signs", "record", "t", "key", "pq.p", "pq.q", "i")
+
+    def opened(group: pa.Table, coders: dict[int, Coder]) -> tuple:
+        """(coder, table, records, keys, m) of a block whose rows are sorted by side."""
+        dim, t, p, q = (group.column(c)[0].as_py() for c in ("dim", "t", "p", "q"))
+        coder = coders.setdefault(dim, Coder(dim, tables, bits, threshold))
+        m = None if p == q else int((group.column("i").to_numpy() == p).sum())
+        return coder, t, _rows(group.column("record"), np.uint64), coder.keys(_rows(group.column("signs"), np.uint8)), m
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders: dict[int, Coder] = {}
+        for group in _groups(batches, block):
+            coder, t, records, keys, m = opened(group, coders)
+            wanted = np.zeros(len(records), bool)
+            for i, j in undecided(coder, t, records, keys, m):
+                wanted[i] = wanted[j] = True
+            yield from group.filter(pa.array(wanted)).to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    open_ = written(dealt.repartition(*block).sortWithinPartitions(*block, (F.col("i") != F.col("p")).cast("int")).mapInArrow(sift, schema), "undecided")
+    full = open_.join(classes.select("cls", "v"), "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders: dict[int, Coder] = {}
+        for group in _groups(batches, block):
+            coder, t, records, keys, m = opened(group, coders)
+            raw = _matrix(group.column("v").combine_chunks(), coder.dim)
+            a, k, b = link_block(coder, t, group.column("cls").to_numpy(), records, keys, raw, group.column("n").to_numpy(), m)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.int64())], ["cls", "links", "to"])
 
-        def done(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-            g = pa.Table.from_batches(group)
-            dim, t, p, q = (g.column(c)[0].as_py() for c in ("dim", "t", "p", "q"))
-            coder = coders.setdefault(dim, Coder(dim, rotations, tables, bits))
-            ids, counts, side = (g.column(c).to_numpy() for c in ("cls", "n", "i"))
-            raw = np.asarray(g.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), dim)
-            part = lambda mask: (ids[mask], raw[mask], counts[mask])
-            a, k, b = link_block(coder, t, part(side == p), None if p == q else part(side == q), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.int64())], ["cls", "links", "to"])
-
-        group, last = [], None
-        for batch in batches:
-            code = np.stack([batch.column(c).to_numpy() for c in ("dim", "t", "key", "p", "q")], 1)
-            cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist(), len(code)] if len(code) else [0]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if group and tuple(code[a]) != last:
-                    yield done(group)
-                    group = []
-                last = tuple(code[a])
-                group.append(batch.slice(a, b - a))
-        if group:
-            yield done(group)
-
-    keys = ["dim", "t", "key", "p", "q"]
-    found = written(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "cls long, links long, `to` long"), "links")
+    found = written(full.repartition(*block).sortWithinPartitions(*block, (F.col("i") != F.col("p")).cast("int")).mapInArrow(compare, "cls long, links long, `to` long"), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.filter("cls <> `to`"), "cls", "to").withColumnRenamed("v", "cls")
     named = written(classes.join(links, "cls", "left").join(roots, "cls", "left").select("v", "first", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    table = named.join(least, "root").select("v", (F.col("n") - 1 + F.col("links")).alias("links"), "component")
-    out = rows.join(table, "v", "left")
+    least = written(named.groupBy("root").agg(F.min("first").alias("component")), "least")
+    table = written(join_unique(named, least, ["root"], "inner").select("v", (F.col("n") - 1 + F.col("links")).alias("links"), "component"), "table")
+    told = join_unique(rows.filter("v is not null"), table, ["v"], "left").select("vec_id", "links", "component")
+    out = told.unionByName(rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.lit(None).cast(dict(rows.dtypes)["vec_id"]).alias("component")))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.col("vec_id").eqNullSafe(F.coalesce("component", "vec_id")).alias("kept"))
