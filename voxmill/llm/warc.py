@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_store, work_path, written
+from .common import flagged, join_unique, open_store, work_path, written
 
 #: Payloads below so many bytes are always stored.
 SMALLEST = 100
@@ -28,21 +28,35 @@ INDEX = "file string, offset long, length long, url string, digest string, page_
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
-    """pages with payload (binary), digest (hex SHA-256) and response_id: the smallest page_id among equal payloads of SMALLEST bytes or more.
+    """pages as page_id, url, payload (binary; null for revisits), bytes, digest (hex SHA-256) and response_id: the smallest page_id among equal payloads of
+    SMALLEST bytes or more that are more than one.
 
-    Only digests and ids are aggregated, with map-side minima. A null html is the empty payload; rows that repeat the
-    smallest page_id are all stored; a null page_id revisits the smallest id, or is stored if all ids are null.
+    Only digests and ids are aggregated, with map-side minima. Rows whose digest a bitmap of the repeated digests doesn't hold stay where they are; of the others,
+    those that revisit another travel without their payload, and only a response that is revisited travels with it. A null html is the empty payload; rows that
+    repeat the smallest page_id are all stored; a null page_id revisits the smallest id, or is stored if all ids are null.
     """
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("digest", F.sha2("payload", 256))
-    ids = p.filter(F.octet_length("payload") >= SMALLEST).groupBy("digest").agg(F.min("page_id").alias("response_id"), F.count("*").alias("n"))
-    return p.join(ids.filter("n > 1").drop("n"), "digest", "left")
-
-
-def _record(page_id, url, payload: bytes, digest: str, response_id) -> tuple[str, bytes]:
+    p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
+    p = p.withColumns({"dh": F.xxhash64("digest"), "ph": F.xxhash64("digest", "page_id")})
+    repeats = p.filter(F.col("bytes") >= SMALLEST).groupBy("digest").agg(F.min("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1 and response_id is not null")
+    repeats = written(repeats.select("digest", "response_id", F.xxhash64("digest").alias("dh")), "repeats")
+    maybe = flagged(p, "dh", repeats, "dh", "repeated")
+    once = maybe.filter("not repeated").withColumn("response_id", F.lit(None).cast(dict(p.dtypes)["page_id"]))
+    light = written(maybe.filter("repeated").select("page_id", "url", "bytes", "digest", "ph"), "digests")
+    light = written(join_unique(light, repeats.drop("dh"), ["digest"], "left"), "told")
+    again = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
+    stored = written(light.filter(~again).select(F.col("page_id").alias("id"), F.col("digest").alias("sha"), "response_id", "ph").distinct(), "stored")
+    whole = flagged(maybe.filter("repeated").drop("repeated"), "ph", stored, "ph", "kept").filter("kept")
+    whole = whole.join(stored.drop("ph"), (F.col("digest") == F.col("sha")) & F.col("page_id").eqNullSafe(F.col("id")))
+    names = ["page_id", "url", "payload", "bytes", "digest", "response_id"]
+    revisits = light.filter(again).withColumn("payload", F.lit(None).cast("binary"))
+    return once.select(*names).unionByName(whole.select(*names)).unionByName(revisits.select(*names))
+
+
+def _record(page_id, url, payload: bytes | None, size: int, digest: str, response_id) -> tuple[str, bytes]:
     """(record type, the record's bytes before compression)."""
     revisit = response_id is not None and page_id != response_id
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if revisit else http + payload
     name = lambda x: f"<urn:voxmill:page:{'' if x is None else x}>"
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
@@ -63,8 +77,8 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
         out, name, at = None, "", 0
         for batch in batches:
             rows = []
-            for page_id, url, payload, digest, response_id in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "response_id")), strict=True):
-                kind, raw = _record(page_id, url, payload, digest, response_id)
+            for page_id, url, payload, size, digest, response_id in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "bytes", "digest", "response_id")), strict=True):
+                kind, raw = _record(page_id, url, payload, size, digest, response_id)
                 if out is None or at >= ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
@@ -78,7 +92,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return written(marked.select("page_id", "url", "payload", "digest", "response_id").mapInArrow(write, INDEX), "warc-index")
+    return written(marked.select("page_id", "url", "payload", "bytes", "digest", "response_id").mapInArrow(write, INDEX), "warc-index")
 
 
 def _parse(raw: bytes) -> tuple:
@@ -135,7 +149,8 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write all pages, then read every record back through the index."""
+    """Write all pages (page_id, url, html; others are ignored), then read every record back through the index: page_id, payload_bytes, payload_digest,
+    record_type, refers_to, one row a page. Null and repeated ids, null, empty and very long payloads are as in mark_revisits(); no pages give no rows."""
     folder = work_path(pages.sparkSession, "warc")
     index = write_archives(mark_revisits(pages), folder)
     return read_records(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
