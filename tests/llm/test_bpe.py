@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voxmill.llm.bpe import TreeBpe, decode_documents, encode_documents, round_trip_digests
+from voxmill.llm.bpe import LEAF_CHARS, TreeBpe, decode_documents, encode_documents, round_trip_digests
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -56,3 +56,24 @@ def test_documents(spark):
     assert got == sorted(((i, t or "") for i, t, _ in rows), key=str)
     assert len(round_trip_digests(docs, RANKS, P.PATTERN).collect()) == 5
     assert round_trip_digests(docs.limit(0), RANKS, P.PATTERN).collect() == []
+
+
+def test_query_digests_equal_the_library(spark):
+    """All documents: counts and digests of what the tiktoken library gives for the whole texts."""
+    import hashlib
+
+    from voxmill.llm.queries import op4_bpe
+
+    d = "/root/testdata/sf0.01"
+    plain = TreeBpe(RANKS, P.PATTERN)._bpe
+    want = []
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+        ids = plain.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, op4_bpe(spark, d).collect())) == sorted(want)
+
+
+def test_most_texts_go_through_the_tree(spark):
+    """Not only the longest texts are halved and joined."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert sum(len(t or "") > LEAF_CHARS for t in texts) > 0.6 * len(texts)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 #: Characters of a leaf, bytes of a leaf inside one match, and the first window of either kind.
-LEAF_CHARS, LEAF_BYTES, WINDOW_CHARS, WINDOW_TOKENS = 8192, 1024, 32, 8
+LEAF_CHARS, LEAF_BYTES, WINDOW_CHARS, WINDOW_TOKENS = 512, 1024, 16, 8
 #: What every engine takes for a non-space and a white-space character.
 _EDGE = r"(?<=[^\s\p{White_Space}\x1c-\x1f])(?=[ \t\n\r])"
 _LEFT, _RIGHT = regex.compile("(?r)" + _EDGE), regex.compile(_EDGE)
@@ -158,7 +158,11 @@ def _mapped(docs: DataFrame, column: str, new: str, kind: pa.DataType, f, ranks_
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoding, decoding and digests in one pass, so that ids need not travel."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs (doc_id, text): encoding, decoding and digests in one pass, so that ids need not travel.
+
+    A null or empty text has no tokens. Texts of any length are encoded whole; repeated rows and null ids stay rows of their own; other columns are ignored, whatever
+    they are called; no rows give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_path, pattern)
