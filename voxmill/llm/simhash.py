@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import flagged, hidden, slices, written
+from .common import flagged, hidden, join_unique, slices, written
 from .components import components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,7 +69,7 @@ def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
 def near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text).
 
-    component_id: the smallest doc_id that links reach. A null or wordless text has fingerprint zero, linked like any other. Repeated rows keep their
+    component_id: the smallest doc_id that links reach. Other columns are ignored, and no rows give none. A null or wordless text has fingerprint zero, linked like any other. Repeated rows keep their
     number; null doc_ids join their component but never name it, unless all of its ids are null.
     """
     marked = written(fingerprints(docs.select("doc_id", "text")), "prints")
@@ -78,12 +78,13 @@ def near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
     named = prints.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.filter(F.col("root") != F.col("fp")).select("root").distinct().join(named, "root").groupBy("root").agg(F.min("first").alias("least"))
     table = written(named.join(least, "root", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("least", "first").alias("component_id")), "classes")
-    return marked.join(table, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_unique(marked, table, ["fingerprint"], "inner").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of docs that are their component's first by doc_id, with all columns.
 
+    A null or wordless text has fingerprint zero, so of all such rows one stays. Columns keep their names, whatever they are; no rows give none.
     What goes is found on fingerprints; only rows that a bitmap of their text hashes picks are shuffled to be taken out. Rows that
     share the first doc_id are told apart by their text's hash and size, and of exact repeats one stays; a null doc_id comes last.
     """
@@ -97,7 +98,7 @@ def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     named = prints.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = named.groupBy("root").agg(F.min("first").alias("least"))
     least = written(named.join(firsts, "root").select("fp", "least"), "firsts")
-    special = rows.join(least, "fp").withColumn("lost", ~order.eqNullSafe(F.col("least"))).filter("lost or n > 1")
+    special = join_unique(written(rows, "rows"), least, ["fp"], "inner").withColumn("lost", ~order.eqNullSafe(F.col("least"))).filter("lost or n > 1")
     special = written(special.select(F.col("doc_id").alias(fp), F.col(key).alias(key + "r"), F.col(size).alias(size + "r"), F.col("lost").alias(gone)), "lost")
 
     split = flagged(docs.withColumns(told), key, special, key + "r", flag)
