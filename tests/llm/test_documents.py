@@ -4,9 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import xxhash
 
-from voxmill.llm import line_dedup, packing, quality_rules, simhash, weak_labels
+from voxmill.llm import bpe, line_dedup, packing, quality_rules, simhash, weak_labels
 from voxmill.llm.components import components
 
 from .fixtures import documents, frame
@@ -37,36 +38,119 @@ def union(n, pairs):
     return [find(x) for x in range(n)]
 
 
+def plain_verdicts(rows, core=0.75, prior=50, tail=1e-9):
+    """Whether each row (lang, source, five statistics) passes: the estimate from sorted distances, group by group."""
+    floors = np.array(list(quality_rules.FEATURES.values()))
+    q, cdf = quality_rules.chi2_quantile, quality_rules.chi2_cdf
+
+    def vector(s):
+        n, size = max(s[0], 1), max(s[1], 1)
+        x = [np.log(n), np.log(size / n), np.log1p(20 * s[2] / size), np.log1p(10 * s[4] / n), np.log1p(40 * s[3] / n)]
+        return [int(np.floor(abs(v) * 1000 + 0.5) * np.sign(v)) for v in x]
+
+    base = [s[0] < 50 or 100 * s[4] > 50 * s[0] for *_, s in rows]
+    z = {i: vector(s) for i, (*_, s) in enumerate(rows) if not base[i]}
+    groups, langs = defaultdict(list), defaultdict(list)
+    for i in z:
+        groups[rows[i][0], rows[i][1]].append(i)
+        langs[rows[i][0]].append(i)
+
+    def middles(ids):
+        x = np.array([z[i] for i in ids]) / 10
+        x = np.floor(np.abs(x) + 0.5) * np.sign(x)
+        mid = np.median(x, 0)
+        return mid / 100, (np.median(np.abs(x - mid), 0) * 0.014826) ** 2
+
+    def chain(v):
+        h = 42
+        for x in v:
+            h = xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), h)
+        return h
+
+    def fitted(n, mean, cov, pm, pv):
+        gap = mean - pm
+        all_ = n + prior
+        return (n * mean + prior * pm) / all_, (n * cov + prior * np.diag(pv) + n * prior / all_ * np.outer(gap, gap)) / all_ + np.diag(floors**2)
+
+    def distance(x, fit):
+        d = x - fit[0]
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(fit[1]), d)
+
+    def moments(x):
+        return (len(x), x.mean(0), np.cov(x.T, bias=True).reshape(5, 5)) if len(x) else (0, np.zeros(5), np.zeros((5, 5)))
+
+    kept = [not f for f in base]
+    ma, va = middles(z) if z else (None, None)
+    scale = lambda share: share / cdf(q(share, 5), 7)
+    for (lang, _), ids in groups.items():
+        ml, vl = middles(langs[lang])
+        k = len(langs[lang])
+        pm, pv = (k * ml + prior * ma) / (k + prior), (k * vl + prior * va) / (k + prior)
+        x = np.array([z[i] for i in ids]) / 1000
+        half = np.array([chain(z[i]) % 2 for i in ids])
+        m, v = middles(ids)
+        starts = [(len(ids), m, np.diag(v)), (len(ids), pm, np.diag(pv)), moments(x), moments(x[half == 0]), moments(x[half == 1])]
+        h = int(np.ceil(core * len(ids)))
+
+        def step(fit):
+            n, mean, cov = moments(x[np.argsort(distance(x, fit), kind="stable")[:h]])  # noqa: B023
+            return fitted(n, mean, cov * scale(core), pm, pv)  # noqa: B023
+
+        fits = [step(step(fitted(*s, pm, pv))) for s in starts if s[0]]
+        best = min(fits, key=lambda f: np.linalg.slogdet(f[1])[1])
+        for _ in range(30):
+            now = step(best)
+            if np.linalg.slogdet(now[1])[1] >= np.linalg.slogdet(best[1])[1] - 1e-9:
+                break
+            best = now
+        n, mean, cov = moments(x[distance(x, best) <= q(0.975, 5)])
+        last = fitted(n, mean, cov * scale(0.975), pm, pv)
+        for i, d in zip(ids, distance(x, last), strict=True):
+            kept[i] = bool(d <= q(1 - tail, 5))
+    return kept
+
+
+def check_quality(spark, docs, rows):
+    """rows: (doc_id, text, lang, source)."""
+    told = [(lang, source, plain_stats(text)) for _, text, lang, source in rows]
+    want = Counter((r[0], *t[2], t[2][0] < 50 or 100 * t[2][4] > 50 * t[2][0], k) for r, t, k in zip(rows, told, plain_verdicts(told), strict=True))
+    got = Counter(map(tuple, quality_rules.quality_table(docs).collect()))
+    assert got == want
+    return [r for r in want if r[-1]]
+
+
 def test_quality_rules(spark):
     rows = documents()
-    got = quality_rules.quality_table(frame(spark), least=20).collect()
-    want = Counter((r[0], *plain_stats(r[1])) for r in rows)
-    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
-    for r in got:
-        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-        assert not (r.kept and r.base_failed)
-    kept = {r.doc_id for r in got if r.kept}
-    assert 11 not in kept and 12 not in kept
-    assert all(r.kept or r.base_failed for r in got if r.doc_id not in (11, 13, 14))
-    out = quality_rules.keep_good(frame(spark), least=20)
+    kept = check_quality(spark, frame(spark), [r[:4] for r in rows])
+    assert not {11, 12} & {r[0] for r in kept}
+    out = quality_rules.keep_good(frame(spark))
     assert out.columns == frame(spark).columns
-    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in got if r.kept)
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in kept for _ in range(Counter(x[0] for x in rows)[r[0]] if r[0] == 20 else 1))
     assert quality_rules.quality_table(frame(spark, [])).collect() == []
     assert quality_rules.keep_good(frame(spark, [])).collect() == []
 
 
+def test_quality_rules_query(spark):
+    """The whole query at the smallest scale, and that it finds most of what labels call bad and nothing else."""
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    kept = {r[0] for r in check_quality(spark, spark.read.parquet(f"{d}/documents.parquet"), rows)}
+    for r in spark.read.parquet(f"{d}/labels.parquet").filter("quality = 0").collect():
+        assert r.doc_id not in kept
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.975, 5) - 12.8325) < 1e-3
     assert abs(quality_rules.chi2_cdf(6.6257, 5) - 0.75) < 1e-4
 
 
 def test_mcd_ignores_outliers(spark):
-    """The fit of 300 rows, 20 of them far off, is that of the other 280."""
+    """The fit of 300 rows, 60 of them far off together, is that of the other 240."""
     rng = np.random.default_rng(0)
-    rows = [("en", "a", int(n), int(n * 5), 0, 0, int(n * 0.05)) for n in np.exp(rng.normal(5.5, 0.4, 280)) + 50]
-    far = [("en", "a", 100, 900, 80, 0, 45)] * 20
+    rows = [("en", "a", int(n), int(n * 5), 0, 0, int(n * 0.05)) for n in np.exp(rng.normal(5.5, 0.4, 240)) + 50]
+    far = [("en", "a", 100, 900, 80, 0, 45)] * 60
     schema = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    (fit,) = quality_rules.fit_mcd(spark.createDataFrame(rows + far, schema))[1].collect()
+    (fit,) = quality_rules.fit_mcd(spark.createDataFrame(rows + far, schema)).collect()
     assert abs(fit.m2) < 0.01 and abs(fit.m0 - np.mean([np.log(r[2]) for r in rows])) < 0.15
 
 
@@ -259,13 +343,14 @@ def test_bounds_are_optimal():
 
 def test_packing(spark):
     rows = documents()
-    out = packing.pack(frame(spark), max_len=512, buckets=6, budget=2048).collect()
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = packing.pack(frame(spark), ranks, pattern, max_len=512, buckets=6, budget=2048).collect()
     sizes = Counter()
     for r in out:
         sizes[r.doc_id] += r.length
     want = Counter()
     for r in rows:
-        want[r[0]] += len(WORD.findall(r[1] or ""))
+        want[r[0]] += len(bpe.coder(ranks, pattern)._bpe.encode_ordinary(r[1] or ""))
     assert sizes == want
     batches = defaultdict(list)
     for r in out:
@@ -278,4 +363,4 @@ def test_packing(spark):
     lengths = sorted(r.length for r in out if r.length)
     bounds = sorted({r.bucket_length for r in out if r.batch})
     assert bounds == packing.best_bounds(np.unique(lengths), np.unique(lengths, return_counts=True)[1], 6)
-    assert packing.pack(frame(spark, [])).collect() == []
+    assert packing.pack(frame(spark, []), ranks, pattern).collect() == []

@@ -1,11 +1,15 @@
-"""Quality rules by robust multivariate outliers: a minimum-covariance-determinant fit for each language and source. Built-in functions only.
-
-A document's statistics become the vector of FEATURES. For each group a deterministic start (coordinate medians and absolute deviations)
-is refined by concentration steps: distances of all rows, the share `core` nearest ones, their mean and covariance. One step is
-one map-side combined aggregation over (group, distance bin), whose few rows a window turns into the moments of the nearest
-share. Vectors are held as integers, so sums are exact and a run gives the same result for any partitioning. Groups of under
-`least` rows share the group of their language, or else one for all. Variances have floors, which stand for what is
-no fault in any group (most have no symbols at all, so that a plain determinant would be zero).
+"""Quality rules by robust multivariate outliers: minimum-covariance-determinant estimates for each language and source. Built-in functions only.
+
+A document's statistics become the vector of FEATURES. For each pair of language and source the estimate is sought from five starts (medians and absolute deviations of
+the group and of its language, all rows, two halves). A concentration step takes the `core` share of rows nearest to a fit and fits their mean and
+covariance, which lowers the determinant; after two steps from each start the one of least determinant goes on until no determinant falls any more. Last, the rows within the
+97.5 % quantile are fitted. One step is one map-side combined aggregation over (group, start, distance bin); the bin in which the core ends counts with the share
+that makes up the core, so exactly the wanted number of rows counts, ties alike, and what may differ from sorted rows lies within one bin. Vectors are held as
+integers, so sums are exact and a run gives the same result for any partitioning.
+
+Every fit is that of its rows and of `prior` more rows with the medians and deviations of the language, which in turn count `prior` rows of all languages. So a
+group of one row has an estimate like one of millions, and no size changes the rule. Variances have floors, which stand for what is no fault in any
+group (most have no symbols at all, so that a plain determinant would be zero).
 """
 
 from __future__ import annotations
@@ -16,14 +20,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import hidden, keep_if, written
+from .common import flagged, hidden, keep_if, written
 from .text_stats import STATS, with_text_stats
 
 #: Names of the vector's parts and the least standard deviation of each.
 FEATURES = {"length": 0.5, "word_size": 0.12, "symbols": 0.12, "repeats": 0.35, "dup_lines": 0.35}
 _UNIT = 1000  # a feature is held in thousandths
 _P = len(FEATURES)
-_BINS = 32  # of the logarithm of a squared distance
+#: Bins of the binary logarithm of a squared distance: 1.1 % of it each.
+_BINS = 64
+#: Parts into which the rows of a group are dealt where its fits are not broadcast.
+_SALTS = 8
+#: Starts of the search: the group's medians, the language's, all rows, and either half of the rows by hash.
+MEDIANS, PRIOR, ALL, HALVES = 0, 1, 2, (3, 4)
+#: Names of a fit's parts: means and the lower triangle of a matrix.
+_M = [f"m{i}" for i in range(_P)]
+_S = [f"s{i}_{j}" for i in range(_P) for j in range(i + 1)]
+_W = [f"w{i}_{j}" for i in range(_P) for j in range(i + 1)]
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -59,51 +72,59 @@ def base_failed(p: str = "") -> Column:
     return (F.col(p + "n_words") < 50) | (100 * F.col(p + "n_repeat_words") > 50 * F.col(p + "n_words"))
 
 
-def _groups(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, source, gid): the fit to which each pair belongs."""
-    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = counts.filter(F.col("n") < least).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    own = F.xxhash64(F.lit("source"), F.col("c.lang"), F.col("c.source"))
-    return (
-        counts.alias("c").join(by_lang.alias("b"), F.col("c.lang").eqNullSafe(F.col("b.lang")), "left")
-        .select("c.lang", "c.source", F.when(F.col("n") >= least, own).when(F.col("n_lang") >= least, F.xxhash64(F.lit("lang"), F.col("c.lang"))).otherwise(F.lit(0)).alias("gid"))
-    )
+def _gid(lang: Column, source: Column) -> Column:
+    return F.xxhash64(lang.isNull(), lang, source.isNull(), source)
 
 
-def _start(v: DataFrame) -> DataFrame:
-    """(gid, m0.., s0_0..): medians and squared scaled absolute deviations, from one exact histogram of hundredths."""
-    hist = v.select("gid", F.posexplode(F.array(*(F.round(F.col(f"z{i}") / 10).cast("int") for i in range(_P)))).alias("k", "x")).groupBy("gid", "k", "x").agg(F.count("*").alias("n"))
-    hist = written(hist, "hist")
+def _medians(v: DataFrame) -> DataFrame:
+    """(level: gid, lid or all; key, rows, m, v): medians and squared scaled absolute deviations of each group, of each language and of all rows.
 
-    def middle(h: DataFrame, x: str) -> DataFrame:
-        w = W.partitionBy("gid", "k")
-        run = h.groupBy("gid", "k", x).agg(F.sum("n").alias("n")).withColumns({"run": F.sum("n").over(w.orderBy(x)), "all": F.sum("n").over(w)})
-        return run.filter(2 * F.col("run") >= F.col("all")).groupBy("gid", "k").agg(F.min(x).alias("mid"))
-
-    mid = middle(hist, "x")
-    dev = middle(hist.join(mid, ["gid", "k"]).withColumn("d", F.abs(F.col("x") - F.col("mid"))), "d").select("gid", "k", F.col("mid").alias("mad"))
-    wide = mid.join(dev, ["gid", "k"]).groupBy("gid").agg(*(F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}{i}") for i in range(_P) for c in ("mid", "mad")))
-    cols = [(F.col(f"mid{i}") / 100.0).alias(f"m{i}") for i in range(_P)]
-    return wide.select("gid", *cols, *((F.pow(F.col(f"mad{i}") * 0.014826, 2) if i == j else F.lit(0.0)).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)))
-
-
-def _whiten(fit: DataFrame, scale: float) -> DataFrame:
-    """(gid, m.., w..): the inverse Cholesky factor of scale * covariance + squared floors."""
+    They come from one exact histogram of hundredths, whose size depends on the range of values alone.
+    """
+    bins = F.posexplode(F.array(*(F.round(F.col(f"z{i}") / 10).cast("int") for i in range(_P)))).alias("k", "x")
+    hist = written(v.select("gid", "lid", bins).groupBy("gid", "lid", "k", "x").agg(F.count("*").alias("n")), "hist")
+    levels = hist.select("k", "x", "n", F.explode(F.create_map(F.lit("gid"), "gid", F.lit("lid"), "lid", F.lit("all"), F.lit(0).cast("long"))).alias("level", "key"))
+    levels = levels.groupBy("level", "key", "k", "x").agg(F.sum("n").alias("n"))
+    by = ["level", "key", "k"]
+    mid = levels.groupBy(*by).agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("mid"), F.sum("n").alias("rows"))
+    dev = levels.join(mid, by).groupBy(*by).agg(F.percentile(F.abs(F.col("x") - F.col("mid")), F.lit(0.5), F.col("n")).alias("mad"))
+    both = mid.join(dev, by)
+    wide = both.groupBy("level", "key").agg(F.max("rows").alias("rows"), F.array(*(F.max(F.when(F.col("k") == i, F.col("mid") / 100)) for i in range(_P))).alias("m"), F.array(*(F.max(F.when(F.col("k") == i, F.pow(F.col("mad") * 0.014826, 2))) for i in range(_P))).alias("v"))
+    return written(wide, "medians")
+
+
+def _priors(medians: DataFrame, pairs: DataFrame, prior: int) -> DataFrame:
+    """(gid, size, m, v, pm, pv): the medians and deviations of each group of pairs (gid, lid), and those of its prior."""
+    level = lambda name, *cols: medians.filter(F.col("level") == name).select(*cols)
+    whole = level("all", "m", "v").first() or {"m": [], "v": []}
+    shrunk = lambda c: F.zip_with(c, F.array(*map(F.lit, whole[c])), lambda x, y: (F.col("rows") * x + prior * y) / (F.col("rows") + prior))
+    langs = level("lid", F.col("key").alias("lid"), shrunk("m").alias("pm"), shrunk("v").alias("pv"))
+    own = level("gid", F.col("key").alias("gid"), F.col("rows").alias("size"), "m", "v")
+    return written(own.join(pairs, "gid").join(langs, "lid").select("gid", "size", "m", "v", "pm", "pv"), "priors")
+
+
+def _fitted(raw: DataFrame, priors: DataFrame, prior: int) -> DataFrame:
+    """(gid, start, size, logdet, m.., w..): the fits of raw (gid, start, n, m.., s..) together with the priors, and the inverse Cholesky factors of their covariances."""
     floors = list(FEATURES.values())
-    df = fit.withColumns({f"s{i}_{j}": F.col(f"s{i}_{j}") * scale + (floors[i] ** 2 if i == j else 0.0) for i in range(_P) for j in range(i + 1)})
+    # one projection after another by lateral aliases: a chain of withColumn is analysed anew at each link
+    gap = lambda i: f"(m{i} - pm[{i}])"
+    lets = {}
+    for i in range(_P):
+        for j in range(i + 1):
+            own = f" + {prior} * pv[{i}]" if i == j else ""
+            lets[f"c{i}_{j}"] = f"(n * s{i}_{j}{own} + n * {prior} / (n + {prior}) * {gap(i)} * {gap(j)}) / (n + {prior})" + (f" + {floors[i] ** 2}D" if i == j else "")
     for i in range(_P):
         for j in range(i + 1):
-            rest = F.col(f"s{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
+            rest = " - ".join([f"c{i}_{j}", *(f"l{i}_{k} * l{j}_{k}" for k in range(j))])
+            lets[f"l{i}_{j}"] = f"sqrt(greatest({rest}, 1e-9D))" if i == j else f"({rest}) / l{j}_{j}"
     for i in range(_P):
         for j in range(i + 1):
-            total = F.lit(1.0 if i == j else 0.0)
-            for k in range(j, i):
-                total = total - F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}")
-            df = df.withColumn(f"w{i}_{j}", total / F.col(f"l{i}_{i}"))
-    return written(df.select("gid", *(f"m{i}" for i in range(_P)), *(f"w{i}_{j}" for i in range(_P) for j in range(i + 1))), "fit")
+            total = " - ".join(["1.0D" if i == j else "0.0D", *(f"l{i}_{k} * w{k}_{j}" for k in range(j, i))])
+            lets[f"w{i}_{j}"] = f"({total}) / l{i}_{i}"
+    lets["logdet"] = " + ".join(f"2 * ln(l{i}_{i})" for i in range(_P))
+    means = [f"(n * m{i} + {prior} * pm[{i}]) / (n + {prior}) as m{i}" for i in range(_P)]
+    df = raw.join(priors.select("gid", "size", "pm", "pv"), "gid").selectExpr("gid", "start", "size", *means, *(f"{v} as {k}" for k, v in lets.items()))
+    return written(df.select("gid", "start", "size", "logdet", *_M, *_W), "fit")
 
 
 def _distance(z: list[Column], at=F.col) -> Column:
@@ -117,62 +138,111 @@ def _distance(z: list[Column], at=F.col) -> Column:
     return total
 
 
-def _moments(v: DataFrame, fit: DataFrame, core: float | None, limit: float | None) -> DataFrame:
-    """Mean and covariance of the share core of nearest rows, or of the rows within limit."""
+_SUMS = [f"a{i}" for i in range(_P)] + [f"b{i}_{j}" for i in range(_P) for j in range(i + 1)]
+
+
+def _sums() -> list[Column]:
     z = [F.col(f"z{i}") for i in range(_P)]
-    near = v.join(fit, "gid").withColumn("d", _distance(z))
-    near = near.withColumn("bin", F.floor(F.log2(F.greatest("d", F.lit(1e-6))) * _BINS).cast("int")) if core else near.filter(F.col("d") <= limit).withColumn("bin", F.lit(0))
-    sums = [F.sum(z[i]).cast("double").alias(f"a{i}") for i in range(_P)] + [F.sum(z[i] * z[j]).cast("double").alias(f"b{i}_{j}") for i in range(_P) for j in range(i + 1)]
-    binned = near.groupBy("gid", "bin").agg(F.count("*").alias("n"), *sums)
-    if core:
-        w = W.partitionBy("gid")
-        binned = binned.withColumns({"before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(w)}).filter(F.col("before") < F.ceil(F.col("all") * core))
-    names = [f"a{i}" for i in range(_P)] + [f"b{i}_{j}" for i in range(_P) for j in range(i + 1)]
-    g = binned.groupBy("gid").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
+    return [F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in zip(_SUMS, [*z, *(z[i] * z[j] for i in range(_P) for j in range(i + 1))], strict=True))]
+
+
+def _moments(sums: DataFrame, scale: float) -> DataFrame:
+    """(gid, start, n, m.., s..) of sums (gid, start, n, a.., b..); scale makes up for rows that were left out."""
     mean = lambda i: F.col(f"a{i}") / F.col("n")
-    return g.select("gid", *((mean(i) / _UNIT).alias(f"m{i}") for i in range(_P)), *(((F.col(f"b{i}_{j}") / F.col("n") - mean(i) * mean(j)) / _UNIT**2).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)))
+    cov = lambda i, j: (F.col(f"b{i}_{j}") / F.col("n") - mean(i) * mean(j)) / _UNIT**2 * scale
+    return sums.select("gid", "start", F.col("n").cast("double").alias("n"), *((mean(i) / _UNIT).alias(f"m{i}") for i in range(_P)), *(cov(i, j).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)))
 
 
-def fit_mcd(stats: DataFrame, core: float = 0.75, steps: int = 4, least: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Fit all groups of stats (lang, source, STATS; rows that fail the base rules are left out).
+def _scale(share: float) -> float:
+    """What makes the covariance of the share of nearest rows that of a normal distribution."""
+    return share / chi2_cdf(chi2_quantile(share, _P), _P + 2)
 
-    Returns (groups: lang, source, gid; fits: gid, m.., w..), both written to the shared folder; empty for no rows.
+
+def _starts(v: DataFrame, priors: DataFrame) -> DataFrame:
+    """(gid, start, n, m.., s..) of the five starts."""
+    flat = lambda start, m, s: priors.select("gid", F.lit(start).alias("start"), F.col("size").cast("double").alias("n"), *(F.get(m, F.lit(i)).alias(f"m{i}") for i in range(_P)), *(F.get(s, F.lit(i)).alias(f"s{i}_{j}") if i == j else F.lit(0.0).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)))
+    half = F.pmod(F.xxhash64(*(f"z{i}" for i in range(_P))), F.lit(2)).cast("int")
+    halves = written(v.groupBy("gid", (half + HALVES[0]).alias("start")).agg(*_sums()), "halves")
+    every = halves.groupBy("gid").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _SUMS)).withColumn("start", F.lit(ALL))
+    return flat(MEDIANS, "m", "v").unionByName(flat(PRIOR, "pm", "pv")).unionByName(_moments(halves.unionByName(every), 1.0))
+
+
+def _near(v: DataFrame, fit: DataFrame) -> DataFrame:
+    """v with each fit of its group and the squared distance d."""
+    dealt = fit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return v.join(dealt, ["gid", "salt"]).withColumn("d", _distance([F.col(f"z{i}") for i in range(_P)]))
+
+
+def _concentrated(v: DataFrame, fit: DataFrame, core: float) -> DataFrame:
+    """Sums of the core share of rows nearest to each fit."""
+    bin_ = F.floor(F.log2(F.greatest("d", F.lit(1e-6))) * _BINS).cast("int").alias("bin")
+    binned = _near(v, fit).groupBy("gid", "start", "size", bin_).agg(*_sums())
+    before = F.sum("n").over(W.partitionBy("gid", "start").orderBy("bin")) - F.col("n")
+    part = (F.ceil(F.col("size") * core) - before) / F.col("n")
+    used = binned.withColumn("part", F.least(F.lit(1.0), part)).filter("part > 0")
+    # whole bins are added up exactly, in whichever order they come
+    whole = lambda c: F.coalesce(F.sum(F.when(F.col("part") == 1, F.col(c).cast("decimal(38,0)"))).cast("double"), F.lit(0.0)) + F.coalesce(F.max(F.when(F.col("part") < 1, F.col(c) * F.col("part"))), F.lit(0.0))
+    return used.groupBy("gid", "start").agg(*(whole(c).alias(c) for c in ("n", *_SUMS)))
+
+
+def fit_mcd(stats: DataFrame, core: float = 0.75, prior: int = 50, rounds: int = 20) -> DataFrame:
+    """The fits (gid, m.., w..) of all groups of stats (lang, source, STATS; rows that fail the base rules are left out), written to the shared folder.
+
+    Concentration ends when no group's log determinant falls by 0.001, or after `rounds` steps, each keeping the least determinant that a group has met. No rows give no fits.
     """
-    rows = stats.filter(~base_failed()).select("lang", "source", *(z.alias(f"z{i}") for i, z in enumerate(_vector(""))))
-    groups = written(_groups(rows, least), "groups")
-    v = written(rows.alias("r").join(groups.alias("g"), F.col("r.lang").eqNullSafe(F.col("g.lang")) & F.col("r.source").eqNullSafe(F.col("g.source"))).select("gid", *(f"z{i}" for i in range(_P))), "vectors")
-    share = core / chi2_cdf(chi2_quantile(core, _P), _P + 2)  # makes the covariance of the core that of a normal distribution
-    fit = _whiten(_start(v), 1.0)
-    for _ in range(steps):
-        fit = _whiten(_moments(v, fit, core, None), share)
-    whole = 0.975 / chi2_cdf(chi2_quantile(0.975, _P), _P + 2)
-    return groups, _whiten(_moments(v, fit, None, chi2_quantile(0.975, _P)), whole)
-
-
-def judge(df: DataFrame, groups: DataFrame, fits: DataFrame, prefix: str = "", tail: float = 1e-9, verdict: str = "kept", failed: str = "base_failed") -> DataFrame:
-    """df (lang, source and prefixed STATS) with base_failed and kept. A row whose group has no fit is kept if the base rules pass."""
-    lang, source, fit = hidden(df, "lang", "source", "fit")
-    params = groups.join(fits, "gid").select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*(c for c in fits.columns if c != "gid")).alias(fit))
-    params = written(params, "params")  # with a known size: while small it is broadcast and no text is shuffled
-    joined = df.join(params, df["lang"].eqNullSafe(params[lang]) & df["source"].eqNullSafe(params[source]), "left")
+    z = [f"z{i}" for i in range(_P)]
+    rows = stats.filter(~base_failed()).select(_gid(F.col("lang"), F.col("source")).alias("gid"), F.xxhash64(F.col("lang").isNull(), "lang").alias("lid"), *(c.alias(k) for k, c in zip(z, _vector(""), strict=True)))
+    v = written(rows.withColumn("salt", F.pmod(F.xxhash64(*z), F.lit(_SALTS)).cast("int")), "vectors")
+    medians = _medians(v)
+    priors = _priors(medians, v.select("gid", "lid").distinct(), prior)
+    step = lambda fit: _fitted(_moments(_concentrated(v, fit, core), _scale(core)), priors, prior)
+    fits = step(step(_fitted(_starts(v, priors), priors, prior)))
+    best = fits.groupBy("gid").agg(F.min_by(F.struct(*fits.columns), F.struct("logdet", "start")).alias("f")).select("f.*")
+    best = written(best, "best")
+    for _ in range(rounds):
+        old = best.select("gid", F.struct(*(c for c in best.columns if c != "gid")).alias("old"))
+        now = step(best)
+        both = now.select("gid", F.struct(*(c for c in best.columns if c != "gid")).alias("now")).join(old, "gid")
+        better = F.col("now.logdet") < F.col("old.logdet")
+        best = written(both.select("gid", F.when(better, F.col("now")).otherwise(F.col("old")).alias("f"), (F.col("old.logdet") - F.col("now.logdet")).alias("fell")).select("gid", "f.*", "fell"), "best")
+        if best.filter("fell >= 0.001").isEmpty():
+            break
+        best = best.drop("fell")
+    inside = _near(v, best).filter(F.col("d") <= chi2_quantile(0.975, _P)).groupBy("gid", "start").agg(*_sums())
+    # a group none of whose rows is inside keeps its prior alone
+    empty = priors.select("gid", F.lit(0).alias("start"), F.lit(0.0).alias("n"), *(F.get("pm", F.lit(i)).alias(f"m{i}") for i in range(_P)), *(F.lit(0.0).alias(c) for c in _S)).join(inside, "gid", "left_anti")
+    return _fitted(_moments(inside, _scale(0.975)).unionByName(empty), priors, prior).select("gid", *_M, *_W)
+
+
+def judge(df: DataFrame, fits: DataFrame, prefix: str = "", tail: float = 1e-9, verdict: str = "kept", failed: str = "base_failed") -> DataFrame:
+    """df (lang, source and prefixed STATS) with base_failed and kept. A row whose group has no fit has failed the base rules."""
+    gid, salt, fit = hidden(df, "gid", "salt", "fit")
+    # while the fits are small they are broadcast; else a group's rows are dealt by salt
+    table = fits.select(F.col("gid").alias(gid), F.struct(*_M, *_W).alias(fit), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias(salt))
+    keyed = df.withColumns({gid: _gid(F.col("lang"), F.col("source")), salt: F.pmod(F.xxhash64(*(F.col(prefix + c) for c in STATS)), F.lit(_SALTS)).cast("int")})
     inside = F.coalesce(_distance(_vector(prefix), lambda c: F.col(fit)[c]) <= chi2_quantile(1 - tail, _P), F.lit(True))
-    return joined.withColumns({failed: base_failed(prefix), verdict: ~base_failed(prefix) & inside}).drop(lang, source, fit)
+    return keyed.join(table, [gid, salt], "left").withColumns({failed: base_failed(prefix), verdict: ~base_failed(prefix) & inside}).drop(gid, salt, fit)
 
 
 def quality_table(docs: DataFrame, tail: float = 1e-9, **fit) -> DataFrame:
     """One row per row of docs (doc_id, text, lang, source; others are ignored): doc_id, STATS, base_failed, kept.
 
-    A null text has no words and fails. Null languages and sources are groups of their own; repeated rows count each time.
+    A null or empty text has no words and fails. Null languages and sources are groups of their own; repeated rows count each time; equal vectors have one
+    verdict. No rows give an empty table.
     """
     stats = written(with_text_stats(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", *STATS), "stats")
-    groups, fits = fit_mcd(stats, **fit)
-    return judge(stats, groups, fits, tail=tail).select("doc_id", *STATS, "base_failed", "kept")
+    return judge(stats, fit_mcd(stats, **fit), tail=tail).select("doc_id", *STATS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, tail: float = 1e-9, **fit) -> DataFrame:
-    """The rows of docs that pass, with all their columns. Texts are measured again for the verdict, so no text is shuffled or kept twice."""
-    stats = written(with_text_stats(docs.select("text", "lang", "source")).select("lang", "source", *STATS), "stats")
-    groups, fits = fit_mcd(stats, **fit)
-    p, verdict, failed = hidden(docs, "stat", "kept", "failed")
-    judged = judge(with_text_stats(docs, prefix=p), groups, fits, prefix=p, tail=tail, verdict=verdict, failed=failed)
-    return keep_if(judged, F.col(verdict)).select(*docs.columns)
+    """The rows of docs that pass, with all their columns, whatever they are called; cases as in quality_table().
+
+    No text is shuffled or written: rows whose text hash a bitmap of the rejected rows' hashes doesn't hold are kept at once, and only the others are measured again.
+    """
+    stats = written(with_text_stats(docs.select("text", "lang", "source")).select(F.xxhash64("text").alias("th"), "lang", "source", *STATS), "stats")
+    fits = fit_mcd(stats, **fit)
+    out = written(judge(stats, fits, tail=tail).filter("not kept").select("th").distinct(), "rejected")
+    p, th, flag, verdict, failed = hidden(docs, "stat", "th", "flag", "kept", "failed")
+    marked = flagged(docs.withColumn(th, F.xxhash64("text")), th, out, "th", flag)
+    judged = judge(with_text_stats(marked.filter(flag), prefix=p), fits, prefix=p, tail=tail, verdict=verdict, failed=failed)
+    return marked.filter(~F.col(flag)).select(*docs.columns).unionByName(keep_if(judged, F.col(verdict)).select(*docs.columns))
