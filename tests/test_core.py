@@ -193,18 +193,27 @@ def test_files(spark, tmp_path):
 def test_streaming(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    src, dst, ck = (str(tmp_path / x) for x in ("src", "dst", "ck"))
-    rows = [("a", "2024-01-01 00:00:00", 1), ("b", "2024-01-01 11:59:50", 2)]
-    spark.createDataFrame(rows, "path string, modificationTime string, length long").withColumn("modificationTime", F.col("modificationTime").cast("timestamp")).write.parquet(src)
-    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
-    arrivals.import_stream(arrivals.listings(spark, src), dst, ck, 30, now).awaitTermination(60)
-    assert [r.path for r in spark.read.parquet(dst).collect()] == ["a"]
-    spark.createDataFrame([("c", "2024-01-01 01:00:00", 3), ("a", "2024-01-01 00:00:00", 1)], "path string, modificationTime string, length long").withColumn("modificationTime", F.col("modificationTime").cast("timestamp")).write.mode("append").parquet(src)
-    arrivals.import_stream(arrivals.listings(spark, src), dst, ck, 30, now).awaitTermination(60)
-    assert sorted(r.path for r in spark.read.parquet(dst).collect()) == ["a", "c"]
+    src, dst, wait, ck = (str(tmp_path / x) for x in ("src", "dst", "wait", "ck"))
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "path string, modificationTime string, length long").withColumn("modificationTime", F.col("modificationTime").cast("timestamp")).write.mode("append").parquet(src)
+
+    def imported(clock):
+        now = F.lit(f"2024-01-0{clock}").cast("timestamp")
+        arrivals.import_stream(arrivals.listings(spark, src), dst, wait, ck, 30, now).awaitTermination(120)
+        arrivals.import_pending(spark, dst, wait, 30, now)
+        return sorted(r.path for r in spark.read.parquet(dst).collect())
+
+    arrive(("a", "2024-01-01 00:00:00", 1), ("b", "2024-01-01 11:59:50", 2), (None, None, None), ("n", None, 1))
+    assert imported("1 12:00:00") == ["a"]
+    # an old file arrives late, a listing is repeated, one that waits is still written to
+    arrive(("c", "2023-01-01 01:00:00", 3), ("a", "2024-01-01 00:00:00", 1), ("b", "2024-01-01 12:00:20", 4))
+    assert imported("1 12:00:30") == ["a", "c"]
+    assert imported("2 00:00:00") == ["a", "b", "c"]
+    assert [r.length for r in spark.read.parquet(dst).filter("path = 'b'").collect()] == [4]
     got = []
     arrivals.each_batch(arrivals.listings(spark, src), str(tmp_path / "ck2"), lambda df, i: got.append(df.count())).awaitTermination(60)
-    assert sum(got) == 4
+    assert sum(got) == 7
 
 
 def test_patterns(spark):

@@ -42,13 +42,19 @@ def _prefixed(boxes: DataFrame, p: str, *keep: str) -> DataFrame:
 def overlap_join(left: DataFrame, right: DataFrame, cell: int = 16) -> DataFrame:
     """Pairs of boxes of one image that overlap: image_id, p_box_id, q_box_id, iou.
 
-    Boxes are put in the grid cells that they touch along x, and a pair is made only in the first cell that both touch, so a crowded image is dealt out
+    Boxes are put in the grid cells that they touch along x and y, and a pair is made only in the first cell that both touch, so a crowded image is dealt out
     by cells and no pair is made twice.
     """
-    cells = lambda b, p: _prefixed(b, p, "image_id").withColumn("cell", F.explode(F.sequence(F.floor(F.col(f"{p}x1") / cell), F.floor((F.col(f"{p}x2") - 1) / cell))))
-    a, b = cells(left, "p_"), cells(right, "q_")
+
+    def cells(boxes: DataFrame, p: str) -> DataFrame:
+        out = _prefixed(boxes, p, "image_id")
+        for a in "xy":
+            out = out.withColumn(f"cell_{a}", F.explode(F.sequence(F.floor(F.col(f"{p}{a}1") / cell), F.floor((F.col(f"{p}{a}2") - 1) / cell))))
+        return out
+
     meet = [F.col(f"p_{x}1") < F.col(f"q_{x}2") for x in AXES] + [F.col(f"q_{x}1") < F.col(f"p_{x}2") for x in AXES]
-    pairs = a.join(b, ["image_id", "cell"]).filter(F.col("cell") == F.floor(F.greatest("p_x1", "q_x1") / cell))
+    meet += [F.col(f"cell_{a}") == F.floor(F.greatest(f"p_{a}1", f"q_{a}1") / cell) for a in "xy"]
+    pairs = cells(left, "p_").join(cells(right, "q_"), ["image_id", "cell_x", "cell_y"])
     for m in meet:
         pairs = pairs.filter(m)
     return pairs.select("image_id", "p_box_id", "q_box_id", iou("p_", "q_").alias("iou"))

@@ -94,17 +94,17 @@ def pose_distances(pairs: DataFrame, p: str, q: str, k: int = 1) -> DataFrame:
     return copies.join(F.broadcast(best), "sym").withColumn("distance", far)  # one row is broadcast
 
 
-def family_distances(poses: DataFrame, other: DataFrame, k: int) -> DataFrame:
-    """For each pose of `other` the median over reference poses of the least rotation error, all errors being taken relative to that reference.
+def family_distances(poses: DataFrame, other: DataFrame, k: int, family: str) -> DataFrame:
+    """For each pose of `other` the median over the reference poses of its family of the least rotation error, all errors being taken relative to that reference.
 
-    Both families (pose_id, rot1..) are brought to the frame of each reference pose; symmetry acts on the first angle. Quadratic by definition: meant for
-    a family of views, not for a corpus.
+    Poses (pose_id, family, rot1..) meet within a family only, in the frame of each of its poses; symmetry acts on the first angle. Quadratic in a family by definition, so a
+    family should be the views of one set; families are dealt out by their key and the pose.
     """
-    a = poses.select(F.col("pose_id"), *(F.col(c).alias(f"a_{c}") for c in ("rot1", "rot2", "rot3")))
-    b = other.select(F.col("pose_id"), *(F.col(c).alias(f"b_{c}") for c in ("rot1", "rot2", "rot3")))
-    both = a.join(b, "pose_id")
-    ref = both.select(F.col("pose_id").alias("ref_id"), *(F.col(f"{s}_{c}").alias(f"r{s}_{c}") for s in "ab" for c in ("rot1", "rot2", "rot3")))
-    pairs = both.crossJoin(ref).withColumn("sym", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("b_rot1", F.col("b_rot1") + F.col("sym") * (360.0 / k))
+    rots = ("rot1", "rot2", "rot3")
+    a = poses.select("pose_id", family, *(F.col(c).alias(f"a_{c}") for c in rots))
+    both = a.join(other.select("pose_id", *(F.col(c).alias(f"b_{c}") for c in rots)), "pose_id")
+    ref = both.select(family, F.col("pose_id").alias("ref_id"), *(F.col(f"{s}_{c}").alias(f"r{s}_{c}") for s in "ab" for c in rots))
+    pairs = both.join(ref, family).withColumn("sym", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("b_rot1", F.col("b_rot1") + F.col("sym") * (360.0 / k))
     one = multiply(transpose(pose_matrix("ra_")), pose_matrix("a_"))
     two = multiply(transpose(pose_matrix("rb_")), pose_matrix("b_"))
     least = pairs.withColumn("angle", angle_between(one, two)).groupBy("pose_id", "ref_id").agg(F.min("angle").alias("angle"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import checkpointed
+
 
 def confusion(rows: DataFrame, classes: list[int], truth: str = "truth", guess: str = "guess") -> DataFrame:
     """One row per true class that occurs, with the counts of every guessed class (p0, p1, ...)."""
@@ -86,10 +88,20 @@ def decode_index(code: Column) -> tuple[Column, Column]:
 
 
 def pu_batches(rows: DataFrame, positive: str, order: Column, batch: int, share: float) -> DataFrame:
-    """rows with batch: each takes int(share * batch) positives and fills up with the others, both in the given order."""
+    """rows with batch: each takes int(share * batch) positives and fills up with the others, both in the given order.
+
+    Rows are sorted by range, counted by partition and class, and numbered within each, so neither class goes through one task; the counts are a few per partition.
+    """
     take = int(share * batch)
     quota = F.when(F.col(positive), F.lit(take)).otherwise(F.lit(batch - take))
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(positive).orderBy(order)) - 1) / quota))
+    placed = checkpointed(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    counts = placed.groupBy(positive, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(positive).orderBy("__part")) - F.col("__n")
+    offsets = counts.select(F.col(positive).alias("__class"), F.col("__part").alias("__at"), before.alias("__before"))
+    # one row for each partition and class
+    joined = placed.join(F.broadcast(offsets), F.col(positive).eqNullSafe(F.col("__class")) & (F.col("__part") == F.col("__at")))
+    at = F.row_number().over(W.partitionBy(positive, "__part").orderBy(order)) - 1 + F.col("__before")
+    return joined.withColumn("batch", F.floor(at / quota)).drop("__part", "__class", "__at", "__before")
 
 
 def hash_shuffle(rows: DataFrame, key: str, epoch: int) -> DataFrame:

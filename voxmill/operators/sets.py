@@ -94,10 +94,10 @@ def match_files(paths: DataFrame, pattern: str) -> DataFrame:
     return paths.filter(F.col("path").rlike(r)).withColumn("file_id", number)
 
 
-def latest_epoch(paths: DataFrame, regex: str) -> DataFrame:
-    """The path with the largest number captured by regex (ties: the last name)."""
-    n = F.regexp_extract("path", regex, 1)
-    return paths.filter(n != "").agg(F.max_by("path", F.struct(n.cast("long"), "path")).alias("path"))
+def latest_epoch(paths: DataFrame, *regexes: str) -> DataFrame:
+    """The path with the largest number captured by the first regex, then by the others (ties: the last name); paths without the first number don't count."""
+    n = [F.regexp_extract("path", r, 1) for r in regexes]
+    return paths.filter(n[0] != "").agg(F.max_by("path", F.struct(*(F.when(k != "", k).cast("long").alias(f"n{i}") for i, k in enumerate(n)), F.col("path"))).alias("path"))
 
 
 def copy_items(items: DataFrame, data: DataFrame, order_items: list[str], order_data: list[str], update: dict[str, Column], keep: Column | None = None) -> DataFrame:

@@ -204,10 +204,7 @@ def src_unique_names(spark, d):
 
 @query("select max_by(path, num * 1000000 + line * 1000 + day) as path from (select distinct path, num, line, day from path) where num = (select max(num) from path) and line = (select max(line) from path where num = (select max(num) from path))", "path")
 def src_latest_epoch(spark, d):
-    last = sets.latest_epoch(fx.paths(spark, d).select("path").distinct(), "img_([0-9]+)_").collect()[0].path
-    number = F.regexp_extract("path", "_([0-9]+)\\.ome", 1).cast("int")
-    same = fx.paths(spark, d).select("path").distinct().filter(F.regexp_extract("path", "img_([0-9]+)_", 1) == F.regexp_extract(F.lit(last), "img_([0-9]+)_", 1))
-    return same.agg(F.max_by("path", F.struct(number, "path")).alias("path"))
+    return sets.latest_epoch(fx.paths(spark, d).select("path").distinct(), "img_([0-9]+)_", "_([0-9]+)\\.ome")
 
 
 @query("select path, cast(regexp_extract(path, '_([0-9]+)\\.ome', 1) as integer) as tail, row_number() over (partition by regexp_extract(path, '^(.*)_', 1) order by cast(regexp_extract(path, '_([0-9]+)\\.ome', 1) as integer)) - 1 as k from (select distinct path from path)", "path")
@@ -236,12 +233,12 @@ _COUNTS = (
 )
 
 
-@query("select image_id, box_id, x1 + (x2 - x1) // 2 - (x2 - x1) // 2 as x1, x1 + (x2 - x1) // 2 - (x2 - x1) // 2 + (x2 - x1) as x2 from pred", "pred")
+@query("select image_id, box_id, " + ", ".join(f"{a}1 + ({a}2 - {a}1) // 2 - ({a}2 - {a}1) // 2 as {a}1, {a}1 + ({a}2 - {a}1) // 2 - ({a}2 - {a}1) // 2 + ({a}2 - {a}1) as {a}2" for a in "xyz") + " from pred", "pred")
 def det_center_to_corners(spark, d):
     b = fx.predictions(spark, d)
     size = {a: F.col(f"{a}2") - F.col(f"{a}1") for a in "xyz"}
     box = det.corners({a: F.col(f"{a}1") + F.floor(size[a] / 2) for a in "xyz"}, size)
-    return b.select("image_id", "box_id", box["x1"].alias("x1"), box["x2"].alias("x2"))
+    return b.select("image_id", "box_id", *(c.alias(k) for k, c in box.items()))
 
 
 @query(_PAIRS + " select image_id, p_id as pred_id, q_id as truth_id, round(iou, 6) as iou from pairs", "pred", "truth")
@@ -282,12 +279,12 @@ def det_nms(spark, d):
 @query(
     _kept("box_id", 0.0)
     + f""", g as (select b.image_id, b.box_id, b.x1, b.y1, b.z1, b.x2, b.y2, b.z2, min(k.box_id) as group_id from pred b join (select image_id, unnest(k) from kept) k on k.image_id = b.image_id where {_LIST_IOU} > 0 or k.box_id = b.box_id group by all)
-    select image_id, group_id, count(*) as n, round(avg(x1), 6) as x1, round(avg(y2), 6) as y2 from g group by image_id, group_id""",
+    select image_id, group_id, count(*) as n, {", ".join(f"round(avg({c}), 6) as {c}" for c in ("x1", "y1", "z1", "x2", "y2", "z2"))} from g group by image_id, group_id""",
     "pred",
 )
 def det_star_groups(spark, d):
     g = det.spatial_average(det.star_groups(fx.predictions(spark, d)))
-    return g.select("image_id", "group_id", "n", r6("x1").alias("x1"), r6("y2").alias("y2"))
+    return g.select("image_id", "group_id", "n", *(r6(f"{a}{k}").alias(f"{a}{k}") for a in "xyz" for k in "12"))
 
 
 @query("select image_id, z, y, x from image, (select unnest(range(0, 29 - 16 + 1, 8)) as z), (select unnest(range(0, 105 - 16 + 1, 8)) as y), (select unnest(range(0, 113 - 16 + 1, 8)) as x)", "image")
@@ -301,9 +298,14 @@ def det_patch_center(spark, d):
     return fx.predictions(spark, d).select("box_id", *(v.cast("long").alias(k) for k, v in c.items()))
 
 
-@query("select box_id, greatest(0, least(x1, 90 - (x2 - x1))) as shifted, least(greatest(x1, 0), 90) as low, least(greatest(x2, 0), 90) as high from pred", "pred")
+_FRAME = {"x": 90, "y": 80, "z": 12}
+
+
+@query("select box_id, " + ", ".join(f"greatest(0, least({a}1, {n} - ({a}2 - {a}1))) as shifted_{a}, least(greatest({a}1, 0), {n}) as low_{a}, least(greatest({a}2, 0), {n}) as high_{a}" for a, n in _FRAME.items()) + " from pred", "pred")
 def det_reframe(spark, d):
-    return fx.predictions(spark, d).select("box_id", det.shifted_inside(F.col("x1"), F.col("x2") - F.col("x1"), F.lit(90)).alias("shifted"), det.clipped_inside(F.col("x1"), F.lit(90)).alias("low"), det.clipped_inside(F.col("x2"), F.lit(90)).alias("high"))
+    c = F.col
+    cut = {a: (det.shifted_inside(c(f"{a}1"), c(f"{a}2") - c(f"{a}1"), F.lit(n)), det.clipped_inside(c(f"{a}1"), F.lit(n)), det.clipped_inside(c(f"{a}2"), F.lit(n))) for a, n in _FRAME.items()}
+    return fx.predictions(spark, d).select("box_id", *(v.alias(f"{k}_{a}") for a, some in cut.items() for k, v in zip(("shifted", "low", "high"), some, strict=True)))
 
 
 @query("select box_id, (x2 - x1) * (y2 - y1) * (z2 - z1) as volume from pred", "pred")
@@ -537,11 +539,11 @@ def aug_flip(spark, d):
 
 @query(
     """, r as (select unnest(range(-2, 3)) as k), s as (select a.k as dz, b.k as dy, c.k as dx from r a, r b, r c where a.k * a.k + b.k * b.k + c.k * c.k <= 4)
-    select distinct image_id, z1 + dz as z, y1 + dy as y, x1 + dx as x from pred, s where image_id <= 20""",
+    select distinct image_id, z1 + dz as z, y1 + dy as y, x1 + dx as x from pred, s""",
     "pred",
 )
 def vox_ball_mask(spark, d):
-    c = fx.predictions(spark, d).filter("image_id <= 20").select("image_id", F.col("z1").alias("z"), F.col("y1").alias("y"), F.col("x1").alias("x"))
+    c = fx.predictions(spark, d).select("image_id", F.col("z1").alias("z"), F.col("y1").alias("y"), F.col("x1").alias("x"))
     return vox.ball_mask(c, 2).select("image_id", *(F.col(a).cast("long").alias(a) for a in "zyx"))
 
 
@@ -575,16 +577,29 @@ def geo_euler_to_matrix(spark, d):
     return fx.poses(spark, d).select("name", *(r6(m[i][j]).alias(f"r{i}{j}") for i in range(3) for j in range(3)))
 
 
-@query("select name, case when rot1 > 180 then rot1 - 360 else rot1 end as rot1, rot2, case when rot3 > 180 then rot3 - 360 else rot3 end as rot3 from pose where rot1 <> 180 and rot3 <> 180", "pose")
+def _with_locked(poses: DataFrame) -> DataFrame:
+    """Poses, and each with its middle angle 0 and 180, where the outer angles turn about one axis."""
+    return poses.withColumn("rot2", F.explode(F.array("rot2", F.lit(0.0), F.lit(180.0)))).withColumn("name", F.concat_ws("@", "name", F.col("rot2").cast("int").cast("string")))
+
+
+_LOCKED = ", lock as (select name || '@' || cast(cast(r as integer) as varchar) as name, rot1, r as rot2, rot3 from (select name, rot1, rot3, unnest([rot2, 0.0::double, 180.0::double]) as r from pose))"
+
+
+@query(
+    _LOCKED + """ select name, cast(case rot2 when 0 then rot1 + rot3 when 180 then rot1 - rot3 + 360 else rot1 end as double) % 360.0::double as rot1, rot2, case when rot2 in (0, 180) then 0.0::double else rot3 % 360.0::double end as rot3 from lock""",
+    "pose",
+)
 def geo_matrix_to_euler(spark, d):
+    """Angles modulo a full turn; in gimbal lock the last one is 0."""
     a = geo.euler_angles(geo.pose_matrix())
-    return fx.poses(spark, d).filter("rot1 <> 180 and rot3 <> 180").select("name", *(r6(c).alias(k) for k, c in zip(("rot1", "rot2", "rot3"), a, strict=True)))
+    turn = lambda c: F.pmod(r6(c), F.lit(360.0)) + F.lit(0.0)
+    return _with_locked(fx.poses(spark, d)).select("name", turn(a[0]).alias("rot1"), r6(a[1]).alias("rot2"), turn(a[2]).alias("rot3"))
 
 
-@query(_R + " select name, round(-(r00 * t1 + r10 * t2 + r20 * t3), 6) + 0.0 as t1, round(-(r01 * t1 + r11 * t2 + r21 * t3), 6) + 0.0 as t2, round(-(r02 * t1 + r12 * t2 + r22 * t3), 6) + 0.0 as t3, round(r10, 6) + 0.0 as r01 from r", "pose")
+@query(_R + " select name, round(-(r00 * t1 + r10 * t2 + r20 * t3), 6) + 0.0 as t1, round(-(r01 * t1 + r11 * t2 + r21 * t3), 6) + 0.0 as t2, round(-(r02 * t1 + r12 * t2 + r22 * t3), 6) + 0.0 as t3, " + ", ".join(f"round(r{j}{i}, 6) + 0.0 as r{i}{j}" for i in range(3) for j in range(3)) + " from r", "pose")
 def geo_invert(spark, d):
     m, t = geo.invert()
-    return fx.poses(spark, d).select("name", *(r6(c).alias(k) for k, c in zip(("t1", "t2", "t3"), t, strict=True)), r6(m[0][1]).alias("r01"))
+    return fx.poses(spark, d).select("name", *(r6(c).alias(k) for k, c in zip(("t1", "t2", "t3"), t, strict=True)), *(r6(m[i][j]).alias(f"r{i}{j}") for i in range(3) for j in range(3)))
 
 
 def _pose_pairs(spark, d):
@@ -625,11 +640,31 @@ def geo_pose_distance(spark, d):
     return geo.pose_distances(_pose_pairs(spark, d), "p_", "q_").select("name", (F.round("angle", 5) + 0.0).alias("angle"), r6("distance").alias("distance"))
 
 
-@query("select pose_id, cast(0.0 as double) as angle from pose where pose_id <= 40", "pose")
+def _matrix_sql(p: str, rot1: str, rot2: str, rot3: str) -> str:
+    """Columns p00 to p22 of the rotation of three angles in degrees."""
+    c, n = (lambda x: f"cos(radians({x}))"), (lambda x: f"sin(radians({x}))")
+    (c1, s1), (c2, s2), (c3, s3) = ((c(x), n(x)) for x in (rot1, rot2, rot3))
+    m = [[c2, f"-{c3} * {s2}", f"{s2} * {s3}"], [f"{c1} * {s2}", f"{c1} * {c2} * {c3} - {s1} * {s3}", f"-{c3} * {s1} - {c1} * {c2} * {s3}"], [f"{s1} * {s2}", f"{c1} * {s3} + {c2} * {c3} * {s1}", f"{c1} * {c3} - {c2} * {s1} * {s3}"]]
+    return ", ".join(f"{m[i][j]} as {p}{i}{j}" for i in range(3) for j in range(3))
+
+
+def _relative_sql(r: str, a: str, p: str, i: int, j: int) -> str:
+    return "(" + " + ".join(f"{r}.{p}{k}{i} * {a}.{p}{k}{j}" for k in range(3)) + ")"
+
+
+@query(
+    f""", fam as (select pose_id, pose_id // 40 as family, {_matrix_sql("a", "rot1", "rot2", "rot3")} from pose),
+    near as (select pose_id, s, {_matrix_sql("b", "(rot1 + pose_id % 7 + s * 120.0)", "rot2", "(rot3 + pose_id % 5)")} from pose, (select unnest(range(3)) as s)),
+    e as (select x.pose_id, r.pose_id as ref, min(degrees(acos(least(1.0, greatest(-1.0, ({" + ".join(_relative_sql("r", "x", "a", i, j) + " * " + _relative_sql("q", "y", "b", i, j) for i in range(3) for j in range(3))} - 1) / 2))))) as angle
+        from fam x join fam r on x.family = r.family join near y on y.pose_id = x.pose_id join near q on q.pose_id = r.pose_id and q.s = 0 group by 1, 2)
+    select pose_id, round(median(angle), 3) + 0.0 as angle from e group by pose_id""",
+    "pose",
+)
 def geo_family_distance(spark, d):
-    """Families that differ by one rotation of the whole are equal."""
-    p = fx.poses(spark, d).filter("pose_id <= 40").select("pose_id", "rot1", "rot2", "rot3")
-    return geo.family_distances(p, p, 3).select("pose_id", (F.round("angle", 3) + 0.0).alias("angle"))
+    """Every family of forty poses against itself with each pose turned a little in its own way."""
+    p = fx.poses(spark, d).select("pose_id", F.floor(F.col("pose_id") / 40).alias("family"), "rot1", "rot2", "rot3")
+    other = p.withColumns({"rot1": F.col("rot1") + F.col("pose_id") % 7, "rot3": F.col("rot3") + F.col("pose_id") % 5})
+    return geo.family_distances(p, other, 3, "family").select("pose_id", (F.round("angle", 3) + 0.0).alias("angle"))
 
 
 @query(
@@ -640,18 +675,19 @@ def geo_sphere_axes(spark, d):
     return geo.sphere_axes(spark, 200, 5, 9).select("axis", F.col("turn").cast("long").alias("turn"), r6("rot1").alias("rot1"), r6("rot2").alias("rot2"), r6("rot3").alias("rot3"))
 
 
-@query(_R + " select name, round(r00, 6) + 0.0 as x, round(r10, 6) + 0.0 as y, round(r20, 6) + 0.0 as z from r where r00 > -0.999", "pose")
+@query(_LOCKED + f", m as (select name, {_matrix_sql('r', 'rot1', 'rot2', 'rot3')} from lock) select name, round(r00, 6) + 0.0 as x, round(r10, 6) + 0.0 as y, round(r20, 6) + 0.0 as z, 1.0::double as det from m", "pose")
 def geo_rotation_between(spark, d):
-    """The rotation that takes the first axis to a pose's axis, applied to the first axis."""
+    """The rotation that takes the first axis to a pose's axis (itself and its opposite too), applied to the first axis, and its determinant."""
     m = geo.pose_matrix()
-    p = fx.poses(spark, d).select("name", *(m[i][0].alias(f"b{i}") for i in range(3))).filter("b0 > -0.999")
+    p = _with_locked(fx.poses(spark, d)).select("name", *(m[i][0].alias(f"b{i}") for i in range(3)))
     r = geo.rotation_between([F.lit(1.0), F.lit(0.0), F.lit(0.0)], [F.col(f"b{i}") for i in range(3)])
-    return p.select("name", *(r6(r[i][0]).alias(a) for i, a in enumerate("xyz")))
+    det = sum((r[0][i] * (r[1][(i + 1) % 3] * r[2][(i + 2) % 3] - r[1][(i + 2) % 3] * r[2][(i + 1) % 3]) for i in range(3)), F.lit(0.0))
+    return p.select("name", *(r6(r[i][0]).alias(a) for i, a in enumerate("xyz")), r6(det).alias("det"))
 
 
-@query("select pose_id, count(*) as n, round(min(rot1 + i * 2.5 - 5), 6) + 0.0 as low, round(max(rot3 + k * 2.5 - 5), 6) + 0.0 as high from pose, (select unnest(range(5)) as i), (select unnest(range(5)) as j), (select unnest(range(5)) as k) where pose_id <= 200 group by pose_id", "pose")
+@query("select pose_id, count(*) as n, round(min(rot1 + i * 2.5 - 5), 6) + 0.0 as low, round(max(rot3 + k * 2.5 - 5), 6) + 0.0 as high from pose, (select unnest(range(5)) as i), (select unnest(range(5)) as j), (select unnest(range(5)) as k) group by pose_id", "pose")
 def rec_refined_grid(spark, d):
-    g = geo.refined_grid(fx.poses(spark, d).filter("pose_id <= 200"), 10.0, 5)
+    g = geo.refined_grid(fx.poses(spark, d), 10.0, 5)
     return g.groupBy("pose_id").agg(F.count("*").alias("n"), r6(F.min("rot1")).alias("low"), r6(F.max("rot3")).alias("high"))
 
 
@@ -678,15 +714,14 @@ def nn_dice(spark, d):
 
 
 @query(
-    _R + """, e as (select name, sqrt(r00 * r00 + r10 * r10) as sy, r00, r10, r20, r21, r22, r11, r12 from r)
-    select name, round(case when sy < 1e-6 then atan2(-r12, r11) else atan2(r21, r22) end, 5) + 0.0 as a, round(atan2(-r20, sy), 5) + 0.0 as b from e where sy > 1e-3 and abs(r21) > 1e-9""",
+    _R + """, e as (select name, sqrt(r00 * r00 + r10 * r10) as sy, r00, r10, r20, r21, r22, r11, r12 from r), a as (select name, case when sy < 1e-6 then atan2(-r12, r11) else atan2(r21, r22) end as a, atan2(-r20, sy) as b, case when sy < 1e-6 then 0 else atan2(r10, r00) end as c from e)
+    select name, """ + ", ".join(f"round({f}({x}), 5) + 0.0 as {f}_{x}" for x in "abc" for f in ("cos", "sin")) + " from a",
     "pose",
 )
 def geo_xyz_angles(spark, d):
-    m = geo.pose_matrix()
-    a = geo.xyz_angles(m)
-    rows = fx.poses(spark, d).filter((F.sqrt(m[0][0] ** 2 + m[1][0] ** 2) > 1e-3) & (F.abs(m[2][1]) > 1e-9))
-    return rows.select("name", (F.round(a[0], 5) + 0.0).alias("a"), (F.round(a[1], 5) + 0.0).alias("b"))
+    """Cosines and sines of the angles, which are the same on both sides of the half turn."""
+    a = geo.xyz_angles(geo.pose_matrix())
+    return fx.poses(spark, d).select("name", *((F.round(f(c), 5) + 0.0).alias(f"{k}_{x}") for x, c in zip("abc", a, strict=True) for k, f in (("cos", F.cos), ("sin", F.sin))))
 
 
 @query("select image_id, round(dim_x / -2.0 * voxel_xy, 6) as ox, round(dim_y / -2.0 * voxel_xy, 6) as oy, round(dim_z * voxel_z, 6) as oz from image", "image")
@@ -819,7 +854,7 @@ def vox_otsu_components(spark, d):
     return volumes.measure(_shaped(spark, d), f, "n long, largest long")
 
 
-@query()
+@query("select vec_id as volume_id, -1.0::double as dz, 0.0::double as dy, 0.0::double as dx, 0.0::double as error from embeddings")
 def vox_registration(spark, d):
     """Shift of each volume against itself rolled by one voxel: -1 along z."""
     import numpy as np
@@ -829,7 +864,7 @@ def vox_registration(spark, d):
 
     def f(v):
         shift, error = kernels.register(v, np.roll(v, 1, 0))
-        return dict(zip(("dz", "dy", "dx"), map(float, shift), strict=True)) | {"error": round(error, 6)}
+        return dict(zip(("dz", "dy", "dx"), (float(x) + 0.0 for x in shift), strict=True)) | {"error": round(error, 6) + 0.0}
 
     return volumes.measure(_shaped(spark, d), f, "dz double, dy double, dx double, error double")
 
@@ -901,7 +936,7 @@ def aug_policy(spark, d):
     return volumes.map_volumes(_shaped(spark, d), lambda v, r: policy(v, int(r.volume_id)))
 
 
-@query()
+@query("select date_trunc('hour', cast(ts as timestamp)) as hour, event_type, count(*) as n, round(sum(value), 4) + 0.0 as total from events group by all")
 def str_windowed_events(spark, d):
     """Hourly counts per event type; the same function serves a stream."""
     from ..streaming.arrivals import windowed_values

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in spark.checkpoint.dir, or where that is unset (tests) in a temporary folder of our own."""
+    """df computed once and kept in spark.checkpoint.dir, or where that is unset, on a local master only (tests), in a temporary folder of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="voxmill-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="voxmill-"))
     return df.checkpoint()
