@@ -59,12 +59,11 @@ def chi2_quantile(q: float, k: int) -> float:
     return hi
 
 
-def _vector(p: str) -> list[Column]:
-    """The transformed statistics in thousandths; p: prefix of the columns of statistics."""
-    n = F.greatest(F.col(p + "n_words"), F.lit(1)).cast("double")
-    size = F.greatest(F.col(p + "word_chars"), F.lit(1)).cast("double")
-    parts = (F.log(n), F.log(size / n), F.log1p(20 * F.col(p + "n_symbols") / size), F.log1p(10 * F.col(p + "n_repeat_words") / n), F.log1p(40 * F.col(p + "n_dup_lines") / n))
-    return [F.round(x * _UNIT).cast("long") for x in parts]
+def _vector(p: str = "") -> list[str]:
+    """The transformed statistics in thousandths, as SQL; p: prefix of the columns of statistics."""
+    n, size = f"greatest({p}n_words, 1)", f"greatest({p}word_chars, 1)"
+    parts = (f"ln({n})", f"ln({size} / {n})", f"log1p(20 * {p}n_symbols / {size})", f"log1p(10 * {p}n_repeat_words / {n})", f"log1p(40 * {p}n_dup_lines / {n})")
+    return [f"cast(round({x} * {_UNIT}) as bigint)" for x in parts]
 
 
 def base_failed(p: str = "") -> Column:
@@ -89,7 +88,7 @@ def _medians(v: DataFrame) -> DataFrame:
     mid = levels.groupBy(*by).agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("mid"), F.sum("n").alias("rows"))
     dev = levels.join(mid, by).groupBy(*by).agg(F.percentile(F.abs(F.col("x") - F.col("mid")), F.lit(0.5), F.col("n")).alias("mad"))
     both = mid.join(dev, by)
-    wide = both.groupBy("level", "key").agg(F.max("rows").alias("rows"), F.array(*(F.max(F.when(F.col("k") == i, F.col("mid") / 100)) for i in range(_P))).alias("m"), F.array(*(F.max(F.when(F.col("k") == i, F.pow(F.col("mad") * 0.014826, 2))) for i in range(_P))).alias("v"))
+    wide = both.groupBy("level", "key").agg(F.max("rows").alias("rows"), F.expr(f"array({', '.join(f'max(case when k = {i} then mid / 100 end)' for i in range(_P))}) as m"), F.expr(f"array({', '.join(f'max(case when k = {i} then pow(mad * 0.014826D, 2) end)' for i in range(_P))}) as v"))
     return written(wide, "medians")
 
 
@@ -104,53 +103,54 @@ def _priors(medians: DataFrame, pairs: DataFrame, prior: int) -> DataFrame:
 
 
 def _fitted(raw: DataFrame, priors: DataFrame, prior: int) -> DataFrame:
-    """(gid, start, size, logdet, m.., w..): the fits of raw (gid, start, n, m.., s..) together with the priors, and the inverse Cholesky factors of their covariances."""
+    """(gid, start, size, logdet, m.., w..): the fits of raw (gid, start, n, m.., s..) together with the priors, and the inverses of their covariances (sums of w.. are quadratic forms).
+
+    A covariance is inverted by sweeping its pivots one after the other, as one small expression over arrays, whatever the number of features.
+    """
     floors = list(FEATURES.values())
-    # one projection after another by lateral aliases: a chain of withColumn is analysed anew at each link
-    gap = lambda i: f"(m{i} - pm[{i}])"
-    lets = {}
-    for i in range(_P):
-        for j in range(i + 1):
-            own = f" + {prior} * pv[{i}]" if i == j else ""
-            lets[f"c{i}_{j}"] = f"(n * s{i}_{j}{own} + n * {prior} / (n + {prior}) * {gap(i)} * {gap(j)}) / (n + {prior})" + (f" + {floors[i] ** 2}D" if i == j else "")
-    for i in range(_P):
-        for j in range(i + 1):
-            rest = " - ".join([f"c{i}_{j}", *(f"l{i}_{k} * l{j}_{k}" for k in range(j))])
-            lets[f"l{i}_{j}"] = f"sqrt(greatest({rest}, 1e-9D))" if i == j else f"({rest}) / l{j}_{j}"
-    for i in range(_P):
-        for j in range(i + 1):
-            total = " - ".join(["1.0D" if i == j else "0.0D", *(f"l{i}_{k} * w{k}_{j}" for k in range(j, i))])
-            lets[f"w{i}_{j}"] = f"({total}) / l{i}_{i}"
-    lets["logdet"] = " + ".join(f"2 * ln(l{i}_{i})" for i in range(_P))
+
+    # expressions as text, which is told to the JVM at once
+    def cov(i: int, j: int) -> str:
+        own = f"n * s{max(i, j)}_{min(i, j)}" + (f" + {prior} * pv[{i}]" if i == j else "")
+        return f"({own} + n * {prior} / (n + {prior}) * (m{i} - pm[{i}]) * (m{j} - pm[{j}])) / (n + {prior})" + (f" + {floors[i] ** 2}D" if i == j else "")
+
     means = [f"(n * m{i} + {prior} * pm[{i}]) / (n + {prior}) as m{i}" for i in range(_P)]
-    df = raw.join(priors.select("gid", "size", "pm", "pv"), "gid").selectExpr("gid", "start", "size", *means, *(f"{v} as {k}" for k, v in lets.items()))
-    return written(df.select("gid", "start", "size", "logdet", *_M, *_W), "fit")
+    df = raw.join(priors.select("gid", "size", "pm", "pv"), "gid").selectExpr("gid", "start", "size", *means, f"array({', '.join(cov(i, j) for i in range(_P) for j in range(_P))}) as cov")
+    kind = "struct<a:array<double>,logdet:double>"
+
+    def sweep(acc: Column, k: Column) -> Column:
+        pivot = F.get(acc["a"], k * (_P + 1))
+
+        def swept(x: Column, e: Column) -> Column:
+            i, j = F.floor(e / _P).cast("int"), e % _P
+            up, left = F.get(acc["a"], i * _P + k), F.get(acc["a"], k * _P + j)
+            return F.when((i == k) & (j == k), -1 / pivot).when((i == k) | (j == k), x / pivot).otherwise(x - up * left / pivot)
+
+        return F.struct(F.transform(acc["a"], swept).alias("a"), (acc["logdet"] + F.log(pivot)).alias("logdet")).cast(kind)
+
+    df = df.withColumn("swept", F.aggregate(F.sequence(F.lit(0), F.lit(_P - 1)), F.struct("cov", F.lit(0.0)).cast(kind), sweep))
+    # off the diagonal a part counts twice
+    return df.selectExpr("gid", "start", "size", "swept.logdet as logdet", *_M, *(f"swept.a[{i * _P + j}] * {-1 if i == j else -2} as w{i}_{j}" for i in range(_P) for j in range(i + 1)))
 
 
-def _distance(z: list[Column], at=F.col) -> Column:
-    """Squared Mahalanobis distance; at gives the parts m.. and w.. of a fit."""
-    total = F.lit(0.0)
-    for i in range(_P):
-        part = F.lit(0.0)
-        for j in range(i + 1):
-            part = part + at(f"w{i}_{j}") * (z[j] / float(_UNIT) - at(f"m{j}"))
-        total = total + part * part
-    return total
+def _distance(z: list[str], fit: str = "") -> str:
+    """Squared Mahalanobis distance of the vector z, as SQL; fit: prefix of the parts m.. and w.. of a fit."""
+    gap = [f"({z[i]} / {_UNIT}D - {fit}m{i})" for i in range(_P)]
+    return "greatest(0D, " + " + ".join(f"{fit}w{i}_{j} * {gap[i]} * {gap[j]}" for i in range(_P) for j in range(i + 1)) + ")"
 
 
 _SUMS = [f"a{i}" for i in range(_P)] + [f"b{i}_{j}" for i in range(_P) for j in range(i + 1)]
 
 
 def _sums() -> list[Column]:
-    z = [F.col(f"z{i}") for i in range(_P)]
-    return [F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in zip(_SUMS, [*z, *(z[i] * z[j] for i in range(_P) for j in range(i + 1))], strict=True))]
+    parts = [*(f"z{i}" for i in range(_P)), *(f"z{i} * z{j}" for i in range(_P) for j in range(i + 1))]
+    return [F.expr(f"{x} as {k}") for k, x in [("n", "count(*)"), *((k, f"sum({x})") for k, x in zip(_SUMS, parts, strict=True))]]
 
 
 def _moments(sums: DataFrame, scale: float) -> DataFrame:
     """(gid, start, n, m.., s..) of sums (gid, start, n, a.., b..); scale makes up for rows that were left out."""
-    mean = lambda i: F.col(f"a{i}") / F.col("n")
-    cov = lambda i, j: (F.col(f"b{i}_{j}") / F.col("n") - mean(i) * mean(j)) / _UNIT**2 * scale
-    return sums.select("gid", "start", F.col("n").cast("double").alias("n"), *((mean(i) / _UNIT).alias(f"m{i}") for i in range(_P)), *(cov(i, j).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)))
+    cov = [f"(b{i}_{j} / n - a{i} / n * (a{j} / n)) / {_UNIT**2} * {scale}D as s{i}_{j}" for i in range(_P) for j in range(i + 1)]
+    return sums.selectExpr("gid", "start", "cast(n as double) as n", *(f"a{i} / n / {_UNIT} as m{i}" for i in range(_P)), *cov)
 
 
 def _scale(share: float) -> float:
@@ -160,7 +160,7 @@ def _scale(share: float) -> float:
 
 def _starts(v: DataFrame, priors: DataFrame) -> DataFrame:
     """(gid, start, n, m.., s..) of the five starts."""
-    flat = lambda start, m, s: priors.select("gid", F.lit(start).alias("start"), F.col("size").cast("double").alias("n"), *(F.get(m, F.lit(i)).alias(f"m{i}") for i in range(_P)), *(F.get(s, F.lit(i)).alias(f"s{i}_{j}") if i == j else F.lit(0.0).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)))
+    flat = lambda start, m, s: priors.selectExpr("gid", f"{start} as start", "cast(size as double) as n", *(f"{m}[{i}] as m{i}" for i in range(_P)), *(f"{s}[{i}] as s{i}_{j}" if i == j else f"0D as s{i}_{j}" for i in range(_P) for j in range(i + 1)))
     half = F.pmod(F.xxhash64(*(f"z{i}" for i in range(_P))), F.lit(2)).cast("int")
     halves = written(v.groupBy("gid", (half + HALVES[0]).alias("start")).agg(*_sums()), "halves")
     every = halves.groupBy("gid").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _SUMS)).withColumn("start", F.lit(ALL))
@@ -170,7 +170,7 @@ def _starts(v: DataFrame, priors: DataFrame) -> DataFrame:
 def _near(v: DataFrame, fit: DataFrame) -> DataFrame:
     """v with each fit of its group and the squared distance d."""
     dealt = fit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return v.join(dealt, ["gid", "salt"]).withColumn("d", _distance([F.col(f"z{i}") for i in range(_P)]))
+    return v.join(dealt, ["gid", "salt"]).withColumn("d", F.expr(_distance([f"z{i}" for i in range(_P)])))
 
 
 def _concentrated(v: DataFrame, fit: DataFrame, core: float) -> DataFrame:
@@ -181,8 +181,8 @@ def _concentrated(v: DataFrame, fit: DataFrame, core: float) -> DataFrame:
     part = (F.ceil(F.col("size") * core) - before) / F.col("n")
     used = binned.withColumn("part", F.least(F.lit(1.0), part)).filter("part > 0")
     # whole bins are added up exactly, in whichever order they come
-    whole = lambda c: F.coalesce(F.sum(F.when(F.col("part") == 1, F.col(c).cast("decimal(38,0)"))).cast("double"), F.lit(0.0)) + F.coalesce(F.max(F.when(F.col("part") < 1, F.col(c) * F.col("part"))), F.lit(0.0))
-    return used.groupBy("gid", "start").agg(*(whole(c).alias(c) for c in ("n", *_SUMS)))
+    whole = lambda c: F.expr(f"coalesce(cast(sum(case when part = 1 then cast({c} as decimal(38, 0)) end) as double), 0D) + coalesce(max(case when part < 1 then {c} * part end), 0D) as {c}")
+    return used.groupBy("gid", "start").agg(*map(whole, ("n", *_SUMS)))
 
 
 def fit_mcd(stats: DataFrame, core: float = 0.75, prior: int = 50, rounds: int = 20) -> DataFrame:
@@ -191,27 +191,27 @@ def fit_mcd(stats: DataFrame, core: float = 0.75, prior: int = 50, rounds: int =
     Concentration ends when no group's log determinant falls by 0.001, or after `rounds` steps, each keeping the least determinant that a group has met. No rows give no fits.
     """
     z = [f"z{i}" for i in range(_P)]
-    rows = stats.filter(~base_failed()).select(_gid(F.col("lang"), F.col("source")).alias("gid"), F.xxhash64(F.col("lang").isNull(), "lang").alias("lid"), *(c.alias(k) for k, c in zip(z, _vector(""), strict=True)))
+    rows = stats.filter(~base_failed()).select(_gid(F.col("lang"), F.col("source")).alias("gid"), F.xxhash64(F.col("lang").isNull(), "lang").alias("lid"), *(F.expr(x).alias(k) for k, x in zip(z, _vector(), strict=True)))
     v = written(rows.withColumn("salt", F.pmod(F.xxhash64(*z), F.lit(_SALTS)).cast("int")), "vectors")
     medians = _medians(v)
     priors = _priors(medians, v.select("gid", "lid").distinct(), prior)
     step = lambda fit: _fitted(_moments(_concentrated(v, fit, core), _scale(core)), priors, prior)
-    fits = step(step(_fitted(_starts(v, priors), priors, prior)))
-    best = fits.groupBy("gid").agg(F.min_by(F.struct(*fits.columns), F.struct("logdet", "start")).alias("f")).select("f.*")
-    best = written(best, "best")
+    fits = written(_fitted(_starts(v, priors), priors, prior), "fit")
+    for _ in range(2):
+        fits = written(step(fits), "fit")
+    names = [c for c in fits.columns if c != "gid"]
+    best = written(fits.groupBy("gid").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("f")).select("gid", "f.*"), "best")
     for _ in range(rounds):
-        old = best.select("gid", F.struct(*(c for c in best.columns if c != "gid")).alias("old"))
-        now = step(best)
-        both = now.select("gid", F.struct(*(c for c in best.columns if c != "gid")).alias("now")).join(old, "gid")
-        better = F.col("now.logdet") < F.col("old.logdet")
-        best = written(both.select("gid", F.when(better, F.col("now")).otherwise(F.col("old")).alias("f"), (F.col("old.logdet") - F.col("now.logdet")).alias("fell")).select("gid", "f.*", "fell"), "best")
+        now = step(best).select("gid", F.struct(*names).alias("now"))
+        both = now.join(best.select("gid", F.struct(*names).alias("old")), "gid")
+        lower = F.when(F.col("now.logdet") < F.col("old.logdet"), F.col("now")).otherwise(F.col("old"))
+        best = written(both.select("gid", lower.alias("f"), (F.col("old.logdet") - F.col("now.logdet")).alias("fell")).select("gid", "f.*", "fell"), "best")
         if best.filter("fell >= 0.001").isEmpty():
             break
-        best = best.drop("fell")
-    inside = _near(v, best).filter(F.col("d") <= chi2_quantile(0.975, _P)).groupBy("gid", "start").agg(*_sums())
+    inside = _near(v, best.drop("fell")).filter(F.col("d") <= chi2_quantile(0.975, _P)).groupBy("gid", "start").agg(*_sums())
     # a group none of whose rows is inside keeps its prior alone
-    empty = priors.select("gid", F.lit(0).alias("start"), F.lit(0.0).alias("n"), *(F.get("pm", F.lit(i)).alias(f"m{i}") for i in range(_P)), *(F.lit(0.0).alias(c) for c in _S)).join(inside, "gid", "left_anti")
-    return _fitted(_moments(inside, _scale(0.975)).unionByName(empty), priors, prior).select("gid", *_M, *_W)
+    empty = priors.select("gid", F.lit(0).alias("start"), F.lit(0.0).alias("n"), *(F.expr(f"pm[{i}] as m{i}") for i in range(_P)), *(F.expr(f"0D as {c}") for c in _S)).join(inside, "gid", "left_anti")
+    return written(_fitted(_moments(inside, _scale(0.975)).unionByName(empty), priors, prior).select("gid", *_M, *_W), "fit")
 
 
 def judge(df: DataFrame, fits: DataFrame, prefix: str = "", tail: float = 1e-9, verdict: str = "kept", failed: str = "base_failed") -> DataFrame:
@@ -220,7 +220,7 @@ def judge(df: DataFrame, fits: DataFrame, prefix: str = "", tail: float = 1e-9,
     # while the fits are small they are broadcast; else a group's rows are dealt by salt
     table = fits.select(F.col("gid").alias(gid), F.struct(*_M, *_W).alias(fit), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias(salt))
     keyed = df.withColumns({gid: _gid(F.col("lang"), F.col("source")), salt: F.pmod(F.xxhash64(*(F.col(prefix + c) for c in STATS)), F.lit(_SALTS)).cast("int")})
-    inside = F.coalesce(_distance(_vector(prefix), lambda c: F.col(fit)[c]) <= chi2_quantile(1 - tail, _P), F.lit(True))
+    inside = F.coalesce(F.expr(_distance(_vector(prefix), f"{fit}.")) <= chi2_quantile(1 - tail, _P), F.lit(True))
     return keyed.join(table, [gid, salt], "left").withColumns({failed: base_failed(prefix), verdict: ~base_failed(prefix) & inside}).drop(gid, salt, fit)
 
 
