@@ -109,7 +109,9 @@ def test_reconstruction_and_matching(spark):
         assert np.allclose(k.rotation_matrix(*best[i]), k.rotation_matrix(*a), atol=1e-6)
     back = {r.volume_id: volumes.shaped(r) for r in volumes.rotated(vols, poses, inverse=True).collect()}
     assert all(np.corrcoef(v.ravel(), truth.ravel())[0, 1] > 0.95 for v in back.values())
-    assert rng is not None
+    noisy = k.rotate(truth, np.array([90.0, 0, 0, 0, 0, 0])) + rng.normal(0, 0.02, truth.shape)
+    (best,) = volumes.match(spark.createDataFrame([(0, [n] * 3, [float(x) for x in noisy.ravel()])], volumes.VOLUME), truth, psf, candidates.filter("volume_id = 0")).collect()
+    assert np.allclose(k.rotation_matrix(best.rot1, best.rot2, best.rot3), k.rotation_matrix(90, 0, 0), atol=1e-6)
 
 
 def test_extract_and_recenter(spark):
@@ -159,9 +161,10 @@ def test_rotation_between_opposite(spark):
 def test_family_distance_is_zero_for_a_common_rotation(spark):
     from pyspark.sql import functions as F
 
-    p = spark.createDataFrame([(i, float(37 * i % 360), float(20 + 11 * i % 140), float(53 * i % 360)) for i in range(6)], "pose_id long, rot1 double, rot2 double, rot3 double")
-    turned = p.withColumn("rot1", F.col("rot1") + 25.0)
-    assert all(r.angle < 1e-3 for r in geometry.family_distances(p, turned, 1).collect())
+    p = spark.createDataFrame([(i, i // 3, float(37 * i % 360), float(20 + 11 * i % 140), float(53 * i % 360)) for i in range(6)], "pose_id long, family long, rot1 double, rot2 double, rot3 double")
+    turned = p.withColumn("rot1", F.col("rot1") + 25.0 * (1 + F.col("family")))
+    assert all(r.angle < 1e-3 for r in geometry.family_distances(p, turned, 1, "family").collect())
+    assert max(r.angle for r in geometry.family_distances(p.withColumn("family", F.lit(0)), turned.withColumn("rot2", F.col("rot2") + 9.0 * F.col("family")), 1, "family").collect()) > 1
 
 
 def test_files(spark, tmp_path):
@@ -227,7 +230,8 @@ def test_scoring(spark):
     patches = spark.createDataFrame([(1, 0, 0, 0, [1.0, 2.0, 3.0]), (1, 0, 0, 1, [5.0, 5.0, 5.0])], "image_id int, z int, y int, x int, data array<double>")
     (r,) = detection.score_patches(patches, lambda a: a.mean(1) - 0.25).collect()
     assert r.x == 0 and abs(r.score - 0.25) < 1e-9
-    assert metrics is not None
+    kept = detection.score_patches(patches, lambda a: a.mean(1) - 0.25, keep_above=-1.0)
+    assert {r.x: round(r.score, 6) for r in metrics.top_per_group(kept, ["image_id"], [kept.score.desc()], 2).collect()} == {0: 0.25, 1: -0.25}
 
 
 def test_learning(spark):

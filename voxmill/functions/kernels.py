@@ -13,12 +13,49 @@ def rotation_matrix(rot1: float, rot2: float, rot3: float) -> np.ndarray:
     return rx(a) @ rz @ rx(c)
 
 
-def affine(volume: np.ndarray, matrix: np.ndarray, offset: np.ndarray, shape: tuple[int, ...] | None = None) -> np.ndarray:
-    """Trilinear resampling: output voxel o takes the input at matrix @ o + offset, 0 outside."""
+def spline_coefficients(volume: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic B-spline that goes through every voxel, the volume being mirrored about its outermost voxels."""
+    pole = np.sqrt(3.0) - 2
+    out = np.asarray(volume, float)
+    for axis in range(out.ndim):
+        n = out.shape[axis]
+        if n < 2:
+            continue
+        c = np.moveaxis(out, axis, 0) * 6.0
+        # the sum over all mirror images, in closed form
+        powers = pole ** np.arange(n)
+        whole = powers.copy()
+        whole[1:-1] += pole ** (2 * n - 2 - np.arange(1, n - 1))
+        first = np.tensordot(whole, c, (0, 0)) / (1 - pole ** (2 * n - 2))
+        forth = np.empty_like(c)
+        forth[0] = first
+        for i in range(1, n):
+            forth[i] = c[i] + pole * forth[i - 1]
+        back = np.empty_like(c)
+        back[-1] = pole / (pole**2 - 1) * (forth[-1] + pole * forth[-2])
+        for i in range(n - 2, -1, -1):
+            back[i] = pole * (back[i + 1] - forth[i])
+        out = np.moveaxis(back, 0, axis)
+    return out
+
+
+def affine(volume: np.ndarray, matrix: np.ndarray, offset: np.ndarray, shape: tuple[int, ...] | None = None, order: int = 1) -> np.ndarray:
+    """Resampling by splines of order 0, 1 or 3: output voxel o takes the input at matrix @ o + offset, 0 outside. A leading axis of channels is kept.
+
+    Cubic splines take mirrored voxels where their support leaves the volume; places outside the volume itself are 0 for every order.
+    """
+    if order not in (0, 1, 3):
+        raise ValueError("the order must be 0, 1 or 3")
+    if volume.ndim == 4:
+        return np.stack([affine(v, matrix, offset, shape, order) for v in volume])
     shape = volume.shape if shape is None else shape
     grid = np.stack(np.meshgrid(*(np.arange(n) for n in shape), indexing="ij"), -1).reshape(-1, 3)
     at = grid @ np.asarray(matrix, float).T + np.asarray(offset, float)
     at = np.where(np.abs(at - np.rint(at)) < 1e-9, np.rint(at), at)
+    if order == 3:
+        return _cubic(spline_coefficients(volume), at).reshape(shape)
+    if order == 0:
+        at = np.floor(at + 0.5)
     low = np.floor(at).astype(int)
     part = at - low
     out = np.zeros(len(at))
@@ -30,6 +67,24 @@ def affine(volume: np.ndarray, matrix: np.ndarray, offset: np.ndarray, shape: tu
     return out.reshape(shape)
 
 
+def _cubic(coefficients: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values of a cubic B-spline at places (n, 3); 0 outside the volume."""
+    size = np.asarray(coefficients.shape)
+    inside = ((at >= 0) & (at <= size - 1)).all(1)
+    at, out = at[inside], np.zeros(len(at))
+    low = np.floor(at).astype(int)
+    t = at - low
+    weights = np.stack([(1 - t) ** 3, 3 * t**3 - 6 * t**2 + 4, 3 * (1 - t) ** 3 - 6 * (1 - t) ** 2 + 4, t**3]) / 6
+    total = np.zeros(len(at))
+    for k in np.ndindex(4, 4, 4):
+        idx = np.abs(low + np.array(k) - 1)
+        idx = np.where(idx > size - 1, 2 * (size - 1) - idx, idx)
+        idx = np.clip(idx, 0, size - 1)
+        total += weights[k[0], :, 0] * weights[k[1], :, 1] * weights[k[2], :, 2] * coefficients[tuple(idx.T)]
+    out[inside] = total
+    return out
+
+
 def pose_affine(shape: tuple[int, ...], pose: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(matrix, offset) that moves a volume by a pose (three angles, three translations) about its centre; inverse moves it back."""
     c = (np.asarray(shape) - 1) / 2
@@ -39,16 +94,17 @@ def pose_affine(shape: tuple[int, ...], pose: np.ndarray, inverse: bool = False)
     return r.T, c - r.T @ (c + t)
 
 
-def rotate(volume: np.ndarray, pose: np.ndarray, inverse: bool = False) -> np.ndarray:
-    return affine(volume, *pose_affine(volume.shape, np.asarray(pose, float), inverse))
+def rotate(volume: np.ndarray, pose: np.ndarray, inverse: bool = False, order: int = 1) -> np.ndarray:
+    return affine(volume, *pose_affine(volume.shape[-3:], np.asarray(pose, float), inverse), order=order)
 
 
-def resample(volume: np.ndarray, scale: float | tuple[float, ...]) -> np.ndarray:
+def resample(volume: np.ndarray, scale: float | tuple[float, ...], order: int = 1) -> np.ndarray:
     """Zoom that keeps the centre; the output has round(shape * scale) voxels, half to even."""
     s = np.broadcast_to(np.asarray(scale, float), 3)
-    shape = tuple(int(n) for n in np.rint(np.asarray(volume.shape) * s))
+    size = np.asarray(volume.shape[-3:])
+    shape = tuple(int(n) for n in np.rint(size * s))
     matrix = np.diag(1 / s)
-    return affine(volume, matrix, (np.asarray(volume.shape) - 1) / 2 - matrix @ ((np.asarray(shape) - 1) / 2), shape)
+    return affine(volume, matrix, (size - 1) / 2 - matrix @ ((np.asarray(shape) - 1) / 2), shape, order)
 
 
 def to_size(volume: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
@@ -65,8 +121,8 @@ def crop_padded(volume: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
     return out
 
 
-def translate(volume: np.ndarray, vector) -> np.ndarray:
-    return affine(volume, np.eye(3), -np.asarray(vector, float))
+def translate(volume: np.ndarray, vector, order: int = 1) -> np.ndarray:
+    return affine(volume, np.eye(3), -np.asarray(vector, float), order=order)
 
 
 def mass_center(volume: np.ndarray) -> np.ndarray:
@@ -74,9 +130,11 @@ def mass_center(volume: np.ndarray) -> np.ndarray:
     return grid @ volume.ravel() / volume.sum()
 
 
-def centered(volume: np.ndarray) -> np.ndarray:
-    """The centre of mass moved to (shape - 1) / 2."""
-    return translate(volume, (np.asarray(volume.shape) - 1) / 2 - mass_center(volume))
+def centered(volume: np.ndarray, order: int = 1) -> np.ndarray:
+    """The centre of mass (of each channel its own) moved to (shape - 1) / 2."""
+    if volume.ndim == 4:
+        return np.stack([centered(v, order) for v in volume])
+    return translate(volume, (np.asarray(volume.shape) - 1) / 2 - mass_center(volume), order)
 
 
 def fourier_shift(spectrum: np.ndarray, vector) -> np.ndarray:
@@ -479,3 +537,81 @@ def ring_center(image: np.ndarray, symmetry: int, precision: float = 1.0) -> np.
             if score > best + 1e-12:
                 best, found = score, np.array([dy, dx])
     return found
+
+
+def density_tree(points: np.ndarray, least: int = 5, samples: int | None = None) -> np.ndarray:
+    """Hierarchical density clusters from 1, noise 0: clusters of at least `least` points that last longest as the density threshold rises.
+
+    Distances are raised to the distance of the samples-th neighbour (the point itself is its first) of either end; the minimum spanning tree of these is cut from
+    its longest edge down. A cluster's weight is the sum over its points of how much density (one over distance) they stay in it; children are kept where they weigh
+    more than their parent, and the whole is no cluster.
+    """
+    n, samples = len(points), samples or least
+    label = np.zeros(n, int)
+    if n < max(2, least):
+        return label
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    core = np.sort(d, 1)[:, min(samples, n) - 1]
+    d = np.maximum(d, np.maximum.outer(core, core))
+    near, source, left = d[0].copy(), np.zeros(n, int), np.ones(n, bool)
+    left[0] = False
+    edges = []
+    for _ in range(n - 1):
+        j = int(np.where(left, near, np.inf).argmin())
+        edges.append((near[j], source[j], j))
+        left[j] = False
+        closer = left & (d[j] < near)
+        near[closer], source[closer] = d[j][closer], j
+    # merges from the shortest edge up: nodes n, n + 1, ...
+    top, kids, leaves = list(range(n)), {}, {i: [i] for i in range(n)}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for k, (length, a, b) in enumerate(sorted(edges)):
+        a, b = find(int(a)), find(int(b))
+        top.append(n + k)
+        top[a] = top[b] = n + k
+        kids[n + k] = (a, b, length)
+        leaves[n + k] = leaves[a] + leaves[b]
+    birth, parent, weight, home = {0: 0.0}, {}, {0: 0.0}, {}
+    todo = [(2 * n - 2, 0)]
+    while todo:
+        node, c = todo.pop()
+        a, b, length = kids[node]
+        density = 1 / max(length, 1e-12)
+        big = [x for x in (a, b) if len(leaves[x]) >= least]
+        for x in (a, b):
+            if len(big) == 2 or x not in big:
+                weight[c] += (density - birth[c]) * len(leaves[x])
+            if len(big) == 2:
+                new = len(birth)
+                birth[new], parent[new], weight[new] = density, c, 0.0
+                if x in kids:
+                    todo.append((x, new))
+                else:
+                    home[x] = new
+            elif x in big and x in kids:
+                todo.append((x, c))
+            else:
+                home.update(dict.fromkeys(leaves[x], c))
+    best, chosen = dict(weight), set()
+    for c in sorted(birth, reverse=True):
+        below = sum(best[x] for x in parent if parent[x] == c)
+        if c == 0 or below > weight[c]:
+            best[c] = below
+        else:
+            chosen.add(c)
+    for point, c in home.items():
+        found = 0
+        while True:
+            found = c if c in chosen else found
+            if c not in parent:
+                break
+            c = parent[c]
+        label[point] = found
+    names = {c: i + 1 for i, c in enumerate(dict.fromkeys(x for x in label.tolist() if x))}
+    return np.array([names.get(x, 0) for x in label.tolist()])

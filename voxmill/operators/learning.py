@@ -63,6 +63,17 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     return points.groupBy("image_id").applyInPandas(run, schema + ", cluster long")
 
 
+def density_tree(points: DataFrame, least: int = 5, samples: int | None = None) -> DataFrame:
+    """points (image_id, z, y, x) with cluster: hierarchical density clusters of each image from 1, noise 0. One image's points are held by one task, with their distances."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["z", "y", "x"], kind="stable")
+        return pdf.assign(cluster=k.density_tree(pdf[["z", "y", "x"]].to_numpy(float), least, samples))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+    return points.groupBy("image_id").applyInPandas(run, schema + ", cluster long")
+
+
 def separate(volumes: DataFrame, share: float = 0.5) -> DataFrame:
     """(volume_id, part, z, y, x, v): voxels over a share of the greatest, split in two by k-means on their places (deterministic start: the two farthest along the main axis)."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 
@@ -87,9 +88,10 @@ def pattern_regex(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-def match_files(paths: DataFrame, pattern: str) -> DataFrame:
-    """(path, file_id) of the paths that match; file_id is null without a # run."""
+def match_files(paths: DataFrame, pattern: str, blacklist: DataFrame | None = None) -> DataFrame:
+    """(path, file_id) of the paths that match and aren't in blacklist (path); file_id is null without a # run."""
     r = pattern_regex(pattern)
+    paths = paths if blacklist is None else paths.join(blacklist.select("path"), "path", "left_anti")
     number = F.regexp_extract("path", r, 1).cast("long") if "#" in pattern else F.lit(None).cast("long")
     return paths.filter(F.col("path").rlike(r)).withColumn("file_id", number)
 
@@ -116,3 +118,33 @@ def store(rows: DataFrame, path: str, parents: list[str], kind: str, lineage: st
 def consistent(items: DataFrame, column: str) -> Column:
     """Whether all items of a set share a value, as an aggregate."""
     return F.count_distinct(column) <= 1
+
+
+def one_psf(images: DataFrame) -> DataFrame:
+    """images if they name one point spread function at most; a run that meets another fails."""
+    told = images.agg(F.count_distinct("psf_id").alias("n"))
+    check = told.select(F.assert_true(F.col("n") <= 1, F.lit("a set has one point spread function at most")).alias("ok"))
+    return images.join(F.broadcast(check.select(F.coalesce(F.col("ok").isNull(), F.lit(True)).alias("__ok"))), F.col("__ok")).drop("__ok")
+
+
+def flattened(rows: DataFrame, sep: str = "_") -> DataFrame:
+    """rows with every struct in them, however deep, as columns named by their path."""
+
+    def leaves(kind: StructType, at: Column | None, name: str) -> list[Column]:
+        out = []
+        for f in kind.fields:
+            here = F.col(f"`{f.name}`") if at is None else at.getField(f.name)
+            path = f"{name}{sep}{f.name}" if name else f.name
+            out += leaves(f.dataType, here, path) if isinstance(f.dataType, StructType) else [here.alias(path)]
+        return out
+
+    return rows.select(*leaves(rows.schema, None, ""))
+
+
+def told(rows: dict[str, object], title: str) -> str:
+    """A boxed report of names and values."""
+    wide = max(map(len, rows), default=0)
+    lines = [f"{k.ljust(wide)} : {v}" for k, v in rows.items()]
+    size = max([len(title), *map(len, lines)])
+    bar = "+" + "-" * (size + 2) + "+"
+    return "\n".join([bar, f"| {title.center(size)} |", bar, *(f"| {x.ljust(size)} |" for x in lines), bar])

@@ -943,3 +943,53 @@ def str_windowed_events(spark, d):
 
     e = fx.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     return windowed_values(e).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", (F.round("total", 4) + 0.0).alias("total"))
+
+
+# ---- image files ------------------------------------------------------------------------------------------------------
+
+
+@query("select volume_id, 4 as dim_x, 4 as dim_y, 4 as dim_z, 'ome' as kind, round(sum(v), 4) + 0.0 as total, round(sum(v * (16 * z + 4 * y + x)), 3) + 0.0 as moment from voxel group by volume_id", "voxel")
+def src_image_round_trip(spark, d):
+    """Every volume as an OME-TIFF file, its metadata and its pixels read back."""
+    from ..sources import images
+
+    files = images.encoded(_shaped(spark, d), 0.1, 0.3)
+    told = images.metadata(files).select("volume_id", "dim_x", "dim_y", "dim_z", "kind")
+    pixels = images.decoded(files, 0).select("volume_id", F.posexplode("data").alias("i", "v")).groupBy("volume_id").agg((F.round(F.sum("v"), 4) + 0.0).alias("total"), (F.round(F.sum(F.col("v") * F.col("i")), 3) + 0.0).alias("moment"))
+    return told.join(pixels, "volume_id")
+
+
+@query("select image_id, 3 + nation_id % 3 as dim_x, 2 as dim_y, 2 + nation_id % 2 as dim_z, n_channels, round(voxel_xy, 6) as voxel_xy, round(case when enabled then 0.5 else voxel_z end, 6) as voxel_z from image", "image")
+def src_image_metadata(spark, d):
+    """Files of several sizes, channels and voxel sizes; the depth of enabled images is given by hand."""
+    import numpy as np
+
+    from ..sources import images
+
+    def run(frames):
+        for pdf in frames:
+            yield pdf.assign(content=[images.encode(np.zeros((r.n_channels, 2 + r.nation_id % 2, 2, 3 + r.nation_id % 3), np.uint16), (r.voxel_xy, r.voxel_z)) for r in pdf.itertuples()])[["image_id", "enabled", "content"]]
+
+    rows = fx.image(spark, d).select("image_id", "nation_id", "n_channels", "voxel_xy", "voxel_z", "enabled")
+    files = rows.mapInPandas(run, f"image_id {dict(rows.dtypes)['image_id']}, enabled boolean, content binary")
+    found = images.metadata(files, voxel_z=F.when(F.col("enabled"), 0.5))
+    return found.select("image_id", *(F.col(c).cast("long").alias(c) for c in ("dim_x", "dim_y", "dim_z", "n_channels")), r6("voxel_xy").alias("voxel_xy"), r6("voxel_z").alias("voxel_z"))
+
+
+@query("select a.volume_id, a.z, a.y, a.x, round(coalesce(b.v, 0), 6) + 0.0 as v from voxel a left join voxel b on a.volume_id = b.volume_id and b.z = a.z - 1 and b.y = a.y and b.x = a.x", "voxel")
+def vox_spline_shift(spark, d):
+    """Cubic splines go through the voxels, so a shift by a whole voxel along z moves them and leaves 0 behind."""
+    from ..functions import kernels
+    from ..operators import volumes
+
+    moved = volumes.map_volumes(_shaped(spark, d), lambda v, r: kernels.translate(v, (1, 0, 0), order=3))
+    at = moved.select("volume_id", F.posexplode("data").alias("i", "v"))
+    return at.select("volume_id", F.floor(F.col("i") / 16).alias("z"), (F.floor(F.col("i") / 4) % 4).alias("y"), (F.col("i") % 4).cast("long").alias("x"), r6("v").alias("v"))
+
+
+@query()
+def ml_density_tree(spark, d):
+    from ..operators import learning
+
+    p = fx.predictions(spark, d).select("image_id", "box_id", *(F.col(f"{a}1").cast("double").alias(a) for a in "zyx"))
+    return learning.density_tree(p, 5)
