@@ -154,6 +154,36 @@ def test_mcd_ignores_outliers(spark):
     assert abs(fit.m2) < 0.01 and abs(fit.m0 - np.mean([np.log(r[2]) for r in rows])) < 0.15
 
 
+def plain_scores(texts):
+    """The scores of texts when all of them train the scorer, in one process."""
+    distinct = {xxhash.xxh64_intdigest((t or "").encode(), 42) if t is not None else 42: t for t in texts}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    votes = [weak_labels.votes(t) for t in texts]
+    patterns = sorted(set(votes))
+    post = dict(zip(patterns, weak_labels.em(np.array(patterns), np.array([votes.count(p) for p in patterns], float))[0], strict=True))
+    rows = [({k: float(np.float32(v)) for k, v in weak_labels.features(t).items()}, post[weak_labels.votes(t)]) for _, t in sorted((signed(h), t) for h, t in distinct.items())]
+    weights, bias = weak_labels.train(rows)
+    weights = weights.astype(np.float32)
+    out = []
+    for t in texts:
+        words = WORD.findall(t or "")
+        out.append(bias + sum(float(weights[weak_labels._word_slots(w)].sum()) for w in words) / max(1, len(words)) + float(weights[weak_labels._text_slots(words)].sum()))
+    return out
+
+
+def test_weak_labels_query(spark):
+    """Every row of the query, and of the awkward fixture, against one process that holds everything."""
+    from voxmill.llm.queries import op1_weak_labels
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    for got, rows in ((op1_weak_labels(spark, "/root/testdata/sf0.001"), [(r.doc_id, r.text) for r in docs]), (weak_labels.classify(frame(spark)), [r[:2] for r in documents()])):
+        want = sorted(((i, s) for (i, _), s in zip(rows, plain_scores([t for _, t in rows]), strict=True)), key=str)
+        have = sorted(((r.doc_id, r.score) for r in got.collect()), key=str)
+        assert [i for i, _ in have] == [i for i, _ in want]
+        assert np.allclose([s for _, s in have], [s for _, s in want], atol=0.02)
+        assert all((s >= 0) == (t >= 0) for (_, s), (_, t) in zip(have, want, strict=True) if abs(t) > 0.02)
+
+
 def test_weak_labels(spark):
     labelled = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -364,3 +394,45 @@ def test_packing(spark):
     bounds = sorted({r.bucket_length for r in out if r.batch})
     assert bounds == packing.best_bounds(np.unique(lengths), np.unique(lengths, return_counts=True)[1], 6)
     assert packing.pack(frame(spark, []), ranks, pattern).collect() == []
+
+
+def test_pipeline_stages_equal_plain_python(spark, tmp_path):
+    """run() over nulls, empty and long texts, repeated rows and clashing columns, stage by stage; and over no rows."""
+    import corpus_pipeline as p
+
+    rows = documents()
+    frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, held = spark.read.parquet(str(tmp_path / "documents.parquet")), [(r[0], r[1], r[2], r[3]) for r in rows]
+    for (name, stage), columns in zip(p.STAGES, [docs.columns] * 4 + [None], strict=True):
+        out = stage(spark, docs, str(tmp_path))
+        if name == "quality rules":
+            verdicts = plain_verdicts([(lang, source, plain_stats(t)) for _, t, lang, source in held])
+            held = [r for r, k in zip(held, verdicts, strict=True) if k]
+        elif name == "quality classifier":
+            held = [r for r, s in zip(held, plain_scores([r[1] for r in held]), strict=True) if s >= 0]
+        elif name == "line dedup":
+            gone = plain_line_dedup(held)
+            held = [(i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ())), *more) for i, t, *more in held]
+        elif name == "SimHash near-dedup":
+            prints = [simhash.fingerprint(r[1]) for r in held]
+            root = union(len(held), [(i, j) for i in range(len(held)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+            told = lambda i: (held[i][0] is None, held[i][0] or 0, held[i][1] or "")  # noqa: E731, B023
+            held = [held[min((i for i in range(len(held)) if root[i] == k), key=told)] for k in dict.fromkeys(root)]
+        else:
+            c = bpe.coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+            sizes = Counter()
+            for r in out.collect():
+                sizes[r.doc_id] += r.length
+            want = Counter()
+            for r in held:
+                want[r[0]] += len(c._bpe.encode_ordinary(r[1] or ""))
+            assert sizes == want
+            break
+        assert out.columns == columns
+        got = out.collect()
+        assert Counter((r.doc_id, r.text, r.lang, r.source) for r in got) == Counter(held), name
+        docs = spark.createDataFrame(got, frame(spark, []).schema)
+    whole = p.run(spark, str(tmp_path)).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] for r in whole} == dict(want)
+    frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert p.run(spark, str(tmp_path / "none")).collect() == []

@@ -262,7 +262,11 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Tokenise docs (doc_id, text), write their ids to files below the shared folder, and read the files back."""
+    """Tokenise docs (doc_id, text; others are ignored), write their ids to files below the shared folder, and read the files back: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text has the end id alone; texts of any length are encoded whole. Rows with one doc_id lie next to each other in the order of their ids' hash, null
+    doc_ids first; repeated rows are documents of their own. No rows give none.
+    """
     spark = docs.sparkSession
     from tokenizers import Tokenizer
 

@@ -221,11 +221,15 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score")
 
 
 def classify(docs: DataFrame, sample: int = 4096) -> DataFrame:
-    """doc_id, score, kept of every row of docs (doc_id, text). A null text is an empty one; an empty table gives none."""
+    """doc_id, score, kept of every row of docs (doc_id, text; others are ignored).
+
+    A null text is an empty one, which gets no votes and the scorer's value of emptiness. Whole texts are scored, however long. Equal texts have equal scores and
+    train the scorer once; a score of 0 is kept; null ids and repeated rows stay rows of their own. No rows give none.
+    """
     return scored(docs.select("doc_id", "text"), fit(docs, sample)).select("doc_id", "score", (F.col("score") >= 0).alias("kept"))
 
 
 def keep_good(docs: DataFrame, sample: int = 4096) -> DataFrame:
-    """The rows of docs that score 0 or more, with all columns."""
+    """The rows of docs that score 0 or more, with all columns, whatever they are called; cases as in classify()."""
     (score,) = hidden(docs, "score")
     return scored(docs, fit(docs, sample), score).filter(F.col(score) >= 0).select(*docs.columns)
