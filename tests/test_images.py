@@ -182,3 +182,26 @@ def test_set_helpers(spark):
     with pytest.raises(Exception, match="one point spread function"):
         sets.one_psf(images_.unionByName(spark.createDataFrame([(4, 8)], "image_id int, psf_id int"))).collect()
     assert sets.told({"n": 3, "size": "4 x 4"}, "Set").split("\n")[1].strip("| ") == "Set"
+
+
+def test_positive_unlabelled(spark):
+    from voxmill.operators import pu
+
+    v = np.zeros((12, 14, 16))
+    v[4:9, 5:10, 6:11] = 1
+    sets_ = spark.createDataFrame([(1, list(v.shape), v.ravel().tolist())], "image_id long, shape array<int>, data array<double>")
+    u = pu.unlabelled(sets_, gamma=1.0, least=4, grow=1)
+    n = len({r.at for r in u.collect()})
+    assert {r.at for r in u.collect()} == set(np.flatnonzero(k.foreground_mask(v, 1.0, 4, 1)).tolist()) and 27 <= n <= 343 and (6 * 14 + 7) * 16 + 8 in {r.at for r in u.collect()}
+    dims = spark.createDataFrame([(1, 12, 14, 16), (2, 2, 14, 16)], "image_id long, dim_z int, dim_y int, dim_x int")
+    marks = spark.createDataFrame([(1, 6.0, 7.0, 8.0), (1, 0.0, 0.0, 0.0), (1, 11.0, 13.0, 15.0), (2, 1.0, 7.0, 8.0), (2, 1.0, 7.0, 8.0)], "image_id long, z double, y double, x double")
+    assert sorted(r["rank"] for r in pu.chosen(marks).filter("image_id = 1").collect()) == [0, 1, 2]
+    assert pu.chosen(marks, 2, epoch=1).count() == 2
+    z, y, x = np.indices((12, 14, 16))
+    ball = lambda a, b, c: (z - a) ** 2 + (y - b) ** 2 + (x - c) ** 2 <= 4
+    got = pu.positives(dims, pu.chosen(marks), 2)
+    assert {r.at for r in got.filter("image_id = 1").collect()} == set(np.flatnonzero(ball(6, 7, 8) | ball(2, 2, 2) | ball(9, 11, 13)).tolist())
+    z, y, x = np.indices((2, 14, 16))
+    assert {r.at for r in got.filter("image_id = 2").collect()} == set(np.flatnonzero(ball(1, 7, 8)).tolist())
+    assert pu.expected_share(u, 1, 2, 2).first().share == 33 * 2 / n
+    assert pu.expected_share(u.limit(0), 1, 2, 2).first().share is None

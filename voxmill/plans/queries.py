@@ -993,3 +993,19 @@ def ml_density_tree(spark, d):
 
     p = fx.predictions(spark, d).select("image_id", "box_id", *(F.col(f"{a}1").cast("double").alias(a) for a in "zyx"))
     return learning.density_tree(p, 5)
+
+
+@query(
+    """, c as (select distinct image_id, greatest(2, least((z1 + z2) // 2, 26)) as z, greatest(2, least((y1 + y2) // 2, 102)) as y, greatest(2, least((x1 + x2) // 2, 110)) as x from truth),
+    r as (select unnest(range(-2, 3)) as k), s as (select a.k as dz, b.k as dy, c.k as dx from r a, r b, r c where a.k * a.k + b.k * b.k + c.k * c.k <= 4),
+    v as (select distinct image_id, ((z + dz) * 105 + y + dy) * 113 + x + dx as spot from c, s)
+    select image_id, count(*) as n, cast(sum(spot) as bigint) as total from v group by image_id""",
+    "truth",
+)
+def samp_positive_mask(spark, d):
+    """Voxels around the annotations of every image, balls moved inside it."""
+    from ..operators import pu
+
+    c = fx.truths(spark, d).select("image_id", *(F.floor((F.col(f"{a}1") + F.col(f"{a}2")) / 2).alias(a) for a in "zyx"))
+    found = pu.positives(fx.image(spark, d), pu.chosen(c), 2)
+    return found.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("at").alias("total"))
