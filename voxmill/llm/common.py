@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
-#: Bits of a bitmap that picks rows: at most 2 MB, so it may be broadcast whatever the data; a full one only picks more than it must.
-BITMAP_BITS = 1 << 24
+#: Least and most bits of a bitmap that picks rows, and bits for each hash in between: at most 32 MB, so it may be broadcast whatever the data; a full one only picks more
+#: than it must.
+BITMAP_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
 _WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -122,9 +123,10 @@ def join_unique(rows: DataFrame, table: DataFrame, on: list[str], how: str, shar
 
 
 def flagged(rows: DataFrame, by: str, wanted: DataFrame, key: str, flag: str) -> DataFrame:
-    """rows with flag: whether the hash `by` may be among the hashes `key` of wanted, by a bitmap of BITMAP_BITS bits; false hits are possible, false misses not."""
+    """rows with flag: whether the hash `by` may be among the hashes `key` of wanted, by a bitmap sized by their number; false hits are possible, false misses not."""
     part, bits = hidden(rows, "part", "bits")
-    place = lambda c: F.pmod(F.col(c), F.lit(BITMAP_BITS)) + 1
+    size = min(MOST_BITS, max(BITMAP_BITS, 1 << (BITS_EACH * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.col(c), F.lit(size)) + 1
     maps = wanted.groupBy(F.bitmap_bucket_number(place(key)).alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias(bits))
     spot = F.bitmap_bit_position(place(by)).cast("int")
     byte = F.conv(F.hex(F.substring(bits, F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
