@@ -428,3 +428,18 @@ def test_simulation_and_refinement(spark):
     rod[4, 1:8, 4] = 1
     turn = volumes.smallest_footprint(rod, np.array([[0, 0, 0, 0, 0, 0], [0, 90, 0, 0, 0, 0]], float))
     assert turn[1] == 90
+
+
+def test_energies_are_equal_whatever_the_order(spark, tmp_path):
+    """Two days of one mean, whose sums of doubles differ: the earlier is best, and the later is as good."""
+    from voxmill.plans.queries import agg_best_candidate, agg_running_best
+
+    days = {"2024-01-22": [23.8, 10.28], "2024-01-27": [25.67, 25.34, 10.9, 4.45, 18.84]}
+    rows = [(1312, day, v) for _ in range(6) for day, values in days.items() for v in values]
+    more = [(7, "2024-01-01", None), (8, "2024-01-01", 1e300), (8, "2024-01-01", 0.0), (9, "2024-01-01", 1 / 3), (9, "2024-01-01", 1 / 6), (10, "2024-01-01", float("nan"))]
+    df = spark.createDataFrame(rows + more, "user_id long, day string, value double").selectExpr("user_id", "cast(day as timestamp) as ts", "value")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    best = {r.view_id: (r.epoch, r.energy) for r in agg_best_candidate(spark, str(tmp_path)).collect()}
+    assert best[1312] == (21, 17.04) and best[7] == (0, None) and best[8][1] == 5e299 and best[9][1] == 0.25 and np.isnan(best[10][1])
+    steps = {r.epoch: (r.best, r.is_best) for r in agg_running_best(spark, str(tmp_path)).filter("view_id = 1312").collect()}
+    assert steps == {21: (17.04, True), 26: (17.04, True)}
