@@ -443,3 +443,19 @@ def test_energies_are_equal_whatever_the_order(spark, tmp_path):
     assert best[1312] == (21, 17.04) and best[7] == (0, None) and best[8][1] == 5e299 and best[9][1] == 0.25 and np.isnan(best[10][1])
     steps = {r.epoch: (r.best, r.is_best) for r in agg_running_best(spark, str(tmp_path)).filter("view_id = 1312").collect()}
     assert steps == {21: (17.04, True), 26: (17.04, True)}
+
+
+def test_zscore_computes_mean_and_deviation_once(spark):
+    """The work grows with the number of values, not with its cube: 4,000 values would take minutes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from voxmill.operators import voxels
+
+    v = np.random.default_rng(3).random(4000) * 9 - 4
+    df = spark.createDataFrame([(v.tolist(),), ([2.0, 2.0],), ([],), (None,)], "data array<double>")
+    begun = time.monotonic()
+    got = [r[0] for r in df.select(voxels.zscore(F.col("data"))).collect()]
+    assert time.monotonic() - begun < 30
+    assert np.allclose(got[0], (v - v.mean()) / v.std()) and got[1] == [0.0, 0.0] and got[2] == [] and got[3] is None

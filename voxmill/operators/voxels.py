@@ -45,10 +45,13 @@ def stretch(data: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def zscore(data: Column) -> Column:
     """Mean 0 and population deviation 1; a constant array becomes 0."""
-    n = F.size(data).cast("double")
+    n = F.nullif(F.size(data), F.lit(0)).cast("double")
     mean = F.aggregate(data, F.lit(0.0), lambda s, v: s + v) / n
-    dev = F.sqrt(F.aggregate(data, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n)
-    return F.transform(data, lambda v: F.when(dev > 0, (v - mean) / dev).otherwise(0.0))
+    dev = lambda m: F.sqrt(F.aggregate(data, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / n)
+    scaled = lambda m, d: F.transform(data, lambda v: F.when(d > 0, (v - m) / d).otherwise(0.0))
+    # lambdas hold mean and deviation, which would be computed again for every value
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    return once(mean, lambda m: once(dev(m), lambda d: scaled(m, d)))
 
 
 def threshold(data: Column, t: Column | float) -> Column:
