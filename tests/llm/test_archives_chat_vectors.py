@@ -193,3 +193,21 @@ def test_recall_on_the_given_vectors(spark):
     real = int(((v @ v.T) / np.outer(norm, norm) >= 0.95).sum() - len(v))
     found = sum(r.n_links for r in rabitq.near_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect())
     assert 0.999 * real <= found <= real
+
+
+@pytest.mark.parametrize("dim", [3, 64, 200])
+def test_undecided_pairs_are_those_of_the_estimates(dim):
+    """The product of matrices before the estimates leaves out none that they allow, and pairs that met in an earlier table are not reported again."""
+    rng = np.random.default_rng(dim)
+    v = rng.standard_normal((40, dim)).repeat(15, axis=0)
+    v += rng.standard_normal(v.shape) * rng.uniform(0, 0.4, (len(v), 1))
+    v = rng.permutation(v / np.linalg.norm(v, axis=1, keepdims=True))
+    coder = rabitq.Coder(dim, 3, 4)
+    records, signs = coder.records(v), coder.signs(v)
+    keys = coder.keys(signs)
+    for m in (None, 250):
+        i, j = np.triu_indices(len(v), 1) if m is None else (x.ravel() for x in np.mgrid[:m, m : len(v)])
+        about, far = coder.estimate(records, records, i, j)
+        keep = (about >= coder.threshold - far) & (keys[i, :2] != keys[j, :2]).all(1)
+        got = [(a, b) for x, y in rabitq.undecided(coder, 2, records, signs, m) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert sorted(got) == sorted(zip(i[keep].tolist(), j[keep].tolist(), strict=True)) and got

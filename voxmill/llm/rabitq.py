@@ -96,12 +96,16 @@ class Coder:
         agree = factors[i, 0]
         # sum of signs * vector, from the bits set and the sum of all
         signed = (2 * (step * dot + low * ones[i]) - (step * levels + low * self.dim)) / self.dim**0.5
+        return signed / agree, self.far(agree, step)
+
+    def far(self, agree: np.ndarray, step: np.ndarray | float) -> np.ndarray:
+        """How far below the threshold the estimate of a pair may lie if its cosine is at the threshold."""
         side = math.sqrt(max(0.0, 1 - self.threshold**2))
         ratio = np.sqrt(np.maximum(0, 1 - np.minimum(agree, 1) ** 2)) / agree * side
         rounding = step / agree / 2
         far = SPREAD * np.sqrt(ratio**2 / max(1, self.dim - 1) + rounding**2)
         # Cauchy-Schwarz; a rounded part is off by a step at most
-        return signed / agree, np.minimum(far, ratio + 2 * rounding * self.dim**0.5)
+        return np.minimum(far, ratio + 2 * rounding * self.dim**0.5)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,31 +122,52 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def undecided(coder: Coder, table: int, records: np.ndarray, keys: np.ndarray, m: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _coarse(coder: Coder, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the estimate of each pair of a row of a and one of b may be near enough: a product of matrices in single precision, less all that it may be wrong by."""
+    w, d = coder.words, coder.dim
+    bits = lambda x: np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, count=d, bitorder="little")
+    agree = np.ascontiguousarray(a[:, w * (1 + _PLANES) :]).view(float)[:, 0]
+    low, step, levels = np.ascontiguousarray(b[:, w * (1 + _PLANES) :]).view(float).T[1:]
+    level = sum(bits(b[:, w * (1 + p) : w * (2 + p)]).astype(np.float32) * (1 << p) for p in range(_PLANES))
+    code = bits(a[:, :w]).astype(np.float32)
+    left = np.hstack([code, code.sum(1, keepdims=True), np.ones((len(a), 1), np.float32)])
+    right = np.hstack([level * (2 * step)[:, None].astype(np.float32), (2 * low)[:, None], -(step * levels + low * d)[:, None]]).astype(np.float32)
+    # the widest allowance that a vector of b gives; terms of the sums add up to less than 8 * d
+    least = coder.threshold - coder.far(agree, step.max())
+    return left @ right.T >= (agree * least * d**0.5 - 2.0**-23 * (d + 8) * 8 * d).astype(np.float32)[:, None]
+
+
+def undecided(coder: Coder, table: int, records: np.ndarray, signs: np.ndarray, m: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Slices (i, j) of the pairs of a block (m is None) or between its first m rows and the others that meet in no table before this one and may reach the threshold."""
     n, rows = len(records), len(records) if m is None else m
     for lo in range(0, rows, 256):
         hi = min(rows, lo + 256)
-        cols = np.arange(lo if m is None else m, n)
-        new = np.ones((hi - lo, len(cols)), bool)
-        for t in range(table):
-            new &= keys[lo:hi, t, None] != keys[None, cols, t]
-        i, j = np.nonzero(new)
-        i, j = i + lo, cols[j]
+        start = lo if m is None else m
+        if start == n:
+            return
+        i, j = np.nonzero(_coarse(coder, records[lo:hi], records[start:]))
+        i, j = i + lo, j + start
         if m is None:
             i, j = i[i < j], j[i < j]
         if len(i):
-            about, far = coder.estimate(records[lo:hi], records[cols], i - lo, j - cols[0])
+            about, far = coder.estimate(records, records, i, j)
             maybe = about >= coder.threshold - far
-            yield i[maybe], j[maybe]
+            i, j = i[maybe], j[maybe]
+        if len(i) and table:
+            used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            keys = coder.keys(signs[used])[:, :table]
+            new = (keys[at[: len(i)]] != keys[at[len(i) :]]).all(1)
+            i, j = i[new], j[new]
+        if len(i):
+            yield i, j
 
 
-def link_block(coder: Coder, table: int, ids: np.ndarray, records: np.ndarray, keys: np.ndarray, raw: np.ndarray, weight: np.ndarray, m: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def link_block(coder: Coder, table: int, ids: np.ndarray, records: np.ndarray, signs: np.ndarray, raw: np.ndarray, weight: np.ndarray, m: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, links counted here for each, an id to connect each with) of one block (m is None), or of the pairs between its first m rows and the others."""
     n = len(ids)
     norm = np.sqrt((raw * raw).sum(1))
     links, label = np.zeros(n, np.int64), np.arange(n)
-    for i, j in undecided(coder, table, records, keys, m):
+    for i, j in undecided(coder, table, records, signs, m):
         exact = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= coder.threshold
         i, j = i[exact], j[exact]
         np.add.at(links, i, weight[j])
@@ -163,24 +188,30 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
 
 def _rows(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
     """Binary values of one size as rows."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(kind).reshape(len(values), -1)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys of sorted batches."""
-    group, last = [], None
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole runs of equal keys of sorted batches, and where the runs begin and end."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        code = np.stack([batch.column(c).to_numpy() for c in keys], 1)
-        cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist(), len(code)] if len(code) else [0]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if group and tuple(code[a]) != last:
-                yield pa.Table.from_batches(group)
-                group = []
-            last = tuple(code[a])
-            group.append(batch.slice(a, b - a))
-    if group:
-        yield pa.Table.from_batches(group)
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*waiting, batch]).combine_chunks()
+        cuts = _cuts(table, keys)
+        if len(cuts) > 2:
+            yield table.slice(0, cuts[-2]), cuts[:-1]
+        waiting = table.slice(cuts[-2]).to_batches()
+    if waiting:
+        table = pa.Table.from_batches(waiting)
+        yield table, [0, len(table)]
+
+
+def _cuts(table: pa.Table, keys: list[str]) -> list[int]:
+    code = np.stack([table.column(c).to_numpy() for c in keys], 1)
+    return [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist(), len(code)]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999) -> DataFrame:
@@ -221,33 +252,45 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))
     dealt = placed.select("cls", "n", "dim", "signs", "record", "t", "key", "i", F.explode(pairs).alias("pq")).select("cls", "n", "dim", "signs", "record", "t", "key", "pq.p", "pq.q", "i")
 
-    def opened(group: pa.Table, coders: dict[int, Coder]) -> tuple:
-        """(coder, table, records, keys, m) of a block whose rows are sorted by side."""
-        dim, t, p, q = (group.column(c)[0].as_py() for c in ("dim", "t", "p", "q"))
-        coder = coders.setdefault(dim, Coder(dim, tables, bits, threshold))
-        m = None if p == q else int((group.column("i").to_numpy() == p).sum())
-        return coder, t, _rows(group.column("record"), np.uint64), coder.keys(_rows(group.column("signs"), np.uint8)), m
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(rows, blocks) of sorted batches; a block: its first row and the next one's, coder, table, records, signs and m."""
+        coders: dict[int, Coder] = {}
+        for rows, cuts in _whole(batches, block):
+            dim, t, p, q, i = (rows.column(c).to_numpy() for c in ("dim", "t", "p", "q", "i"))
+            # vectors of different lengths have records of different sizes, and are never in one block
+            far = [0, *(np.flatnonzero(dim[1:] != dim[:-1]) + 1).tolist(), len(dim)]
+            parts = [(a, _rows(rows.column("record").slice(a, b - a), np.uint64), _rows(rows.column("signs").slice(a, b - a), np.uint8)) for a, b in zip(far, far[1:], strict=False)]
+
+            def blocks(part=0, cuts=cuts, far=far, parts=parts, dim=dim, t=t, p=p, q=q, i=i):
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    part += a >= far[part + 1]
+                    at, records, signs = parts[part]
+                    d = int(dim[a])
+                    if d not in coders:
+                        coders[d] = Coder(d, tables, bits, threshold)
+                    yield a, b, coders[d], int(t[a]), records[a - at : b - at], signs[a - at : b - at], None if p[a] == q[a] else int((i[a:b] == p[a]).sum())
+
+            yield rows, blocks()
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders: dict[int, Coder] = {}
-        for group in _groups(batches, block):
-            coder, t, records, keys, m = opened(group, coders)
-            wanted = np.zeros(len(records), bool)
-            for i, j in undecided(coder, t, records, keys, m):
-                wanted[i] = wanted[j] = True
-            yield from group.filter(pa.array(wanted)).to_batches()
+        for rows, blocks in opened(batches):
+            wanted = np.zeros(len(rows), bool)
+            for a, _, coder, t, records, signs, m in blocks:
+                for i, j in undecided(coder, t, records, signs, m):
+                    wanted[a + i] = wanted[a + j] = True
+            yield from rows.filter(pa.array(wanted)).to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     open_ = written(dealt.repartition(*block).sortWithinPartitions(*block, (F.col("i") != F.col("p")).cast("int")).mapInArrow(sift, schema), "undecided")
     full = open_.join(classes.select("cls", "v"), "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders: dict[int, Coder] = {}
-        for group in _groups(batches, block):
-            coder, t, records, keys, m = opened(group, coders)
-            raw = _matrix(group.column("v").combine_chunks(), coder.dim)
-            a, k, b = link_block(coder, t, group.column("cls").to_numpy(), records, keys, raw, group.column("n").to_numpy(), m)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.int64())], ["cls", "links", "to"])
+        for rows, blocks in opened(batches):
+            ids, weight = rows.column("cls").to_numpy(), rows.column("n").to_numpy()
+            for a, b, coder, t, records, signs, m in blocks:
+                raw = _matrix(rows.column("v").slice(a, b - a).combine_chunks(), coder.dim)
+                one, k, to = link_block(coder, t, ids[a:b], records, signs, raw, weight[a:b], m)
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(k, pa.int64()), pa.array(to, pa.int64())], ["cls", "links", "to"])
 
     found = written(full.repartition(*block).sortWithinPartitions(*block, (F.col("i") != F.col("p")).cast("int")).mapInArrow(compare, "cls long, links long, `to` long"), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
