@@ -297,6 +297,24 @@ def test_line_dedup_copies_of_shared_passage(spark, monkeypatch):
     test_line_dedup(spark)
 
 
+def test_line_dedup_whatever_the_size_of_buckets(spark, monkeypatch):
+    """Which lines are linked does not depend on LIMIT: large buckets link the lines that small ones do."""
+    import random
+
+    rnd, texts = random.Random(11), []
+    passages = [" ".join(word(rnd) for _ in range(9)) for _ in range(6)]
+    for k in range(500):
+        own = [word(rnd) for _ in range(14)]
+        line = f"{passages[k % 6]} {' '.join(own)}"
+        texts += [line, " ".join([*line.split()[:-2], word(rnd), word(rnd)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for limit in (1, 1_000_000):
+        monkeypatch.setattr(line_dedup, "LIMIT", limit)
+        found.append({r.doc_id for r in line_dedup.dedup_lines(docs, counts=True).collect() if r.n_removed})
+    assert len(found[0]) > 100 and found[0] == found[1]
+
+
 def test_line_dedup_without_spaces(spark):
     import random
 
