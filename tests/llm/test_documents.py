@@ -315,6 +315,46 @@ def test_line_dedup_whatever_the_size_of_buckets(spark, monkeypatch):
     assert len(found[0]) > 100 and found[0] == found[1]
 
 
+def test_line_dedup_compares_few_lines_of_a_shared_passage_in_full(spark, monkeypatch):
+    """Lines that share a passage, but aren't similar, meet in large buckets: the texts of few of all their pairs are compared."""
+    import random
+
+    rnd, compared = random.Random(12), []
+    passage = " ".join(word(rnd) for _ in range(16))
+    texts = [f"{passage} {' '.join(word(rnd) for _ in range(14))}" for _ in range(400)]
+    # a line like another one, with which it isn't compared as the bucket's least line or neighbour
+    texts += [" ".join([*x.split()[:-1], word(rnd)]) for x in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    verified = line_dedup._verified
+
+    def counted(pairs, texts):
+        compared.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs, counts=True).collect() if r.n_removed}
+    assert gone == set(range(400, 440)) and sum(compared) <= 200
+
+
+def test_line_dedup_sketches_lose_no_similar_lines(spark):
+    import random
+
+    rnd, lines = random.Random(13), []
+    for k in range(400):
+        words = [word(rnd, rnd.randrange(1, 9)) for _ in range(rnd.randrange(2, 300))]
+        edited = list(words)
+        for _ in range(rnd.randrange(1 + len(words) // 12)):
+            edited[rnd.randrange(len(words))] = word(rnd)
+        # repeated shingles count once
+        again = " " + " ".join(words[:3]) if k % 2 else ""
+        lines += [" ".join(words), " ".join(edited) + again * 9]
+    texts = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(400)], "a long, b long")
+    similar = {tuple(r) for r in line_dedup._verified(pairs, texts).collect()}
+    kept = {tuple(r) for r in line_dedup._alike(pairs, line_dedup._sketches(texts)).collect()}
+    assert len(similar) > 200 and similar <= kept < {tuple(r) for r in pairs.collect()}
+
+
 def test_line_dedup_without_spaces(spark):
     import random
 
