@@ -355,6 +355,16 @@ def test_line_dedup_sketches_lose_no_similar_lines(spark):
     assert len(similar) > 200 and similar <= kept < {tuple(r) for r in pairs.collect()}
 
 
+def test_line_dedup_sketches_tell_long_lines_that_repeat_themselves(spark):
+    """Lines of thousands of shingles, few of them distinct: only those that are similar are left to be compared in full."""
+    lines = [f"{w} " * 500 for w in ("abcdefgh", "ijklmnop", "qrstuvwx")] + ["abcdefgh " * 480]
+    texts = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    sketches = line_dedup._sketches(texts)
+    assert {r.lid: r.sketch.size for r in sketches.collect()} == {i: 9 for i in range(4)}
+    pairs = spark.createDataFrame([(a, b) for b in range(4) for a in range(b)], "a long, b long")
+    assert [tuple(r) for r in line_dedup._alike(pairs, sketches).collect()] == [(0, 3)]
+
+
 def test_line_dedup_without_spaces(spark):
     import random
 
